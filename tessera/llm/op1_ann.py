@@ -4,7 +4,7 @@ A vector, less the centre of all, is turned by a random rotation and kept as the
 of its coordinates (packed bits) with three correction scalars. From those the inner
 product with a query is estimated, with a bound on the error that holds with high
 probability; a candidate is scored on its original vector only if estimate plus bound
-reaches the k-th best exact score found so far.
+reaches the k-th best exact score of the likeliest candidates.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from tessera.plans.staging import stage
 
 #: Width of the error bound in standard deviations; larger reranks more and misses less.
 EPSILON = 2.0
+#: Candidates scored first, in multiples of k: their k-th best score is the floor for the bounds.
+SEEDS = 8
 #: Index rows and queries that meet in one task.
 BLOCK_ROWS = 4_096
 BLOCK_QUERIES = 2_048
@@ -77,16 +79,15 @@ def search_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
         other = ids != qid[i]
         high = np.where(other, near[i] + bound[i], -np.inf)
         guess = np.where(other, near[i], -np.inf)
-        first = np.argpartition(-guess, min(k, len(ids)) - 1)[:k]
+        first = np.argpartition(-guess, min(SEEDS * k, len(ids)) - 1)[: SEEDS * k]
         first = first[other[first]]
         exact = (x[first] * q[i]).sum(axis=1)
-        floor = exact.min() if len(first) == k else -np.inf
-        more = np.flatnonzero((high >= floor) & other)
+        floor = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+        high[first] = -np.inf
+        more = np.flatnonzero((high >= floor) & (high > -np.inf))
         score = (x[more] * q[i]).sum(axis=1)
         at = np.r_[first, more]
         score = np.r_[exact, score]
-        at, one = np.unique(at, return_index=True)
-        score = score[one]
         best = np.lexsort((ids[at], -score))[:k]
         yield int(qid[i]), ids[at][best], score[best], len(at)
 
