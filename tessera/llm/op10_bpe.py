@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +54,29 @@ def _bucket(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values as four byte planes, which compress better."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _values(data: bytes) -> np.ndarray:
+    """Inverse of :func:`_planes` on compressed data."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel()
+
+
+def _round_robin(sizes: np.ndarray) -> np.ndarray:
+    """Positions of items that lie bucket after bucket, in the order first of each bucket, second of each, and so on."""
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    nth = np.arange(len(bucket)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.lexsort((bucket, nth))
+
+
 def _packed_rows(texts: DataFrame, buckets: int, block_chars: int) -> DataFrame:
     """Blocks of ``texts`` (id, text): a row of words for each bucket, and one row (bucket -1) of word indexes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         part, serial = TaskContext.get().partitionId(), 0
         ids: list = []
         flat: list[np.ndarray] = []
@@ -68,18 +88,19 @@ def _packed_rows(texts: DataFrame, buckets: int, block_chars: int) -> DataFrame:
             block = f"{part}-{serial}"
             words = list(index)
             home = np.fromiter((_bucket(w, buckets) for w in words), dtype=np.int64, count=len(words))
-            order = np.argsort(home, kind="stable")
-            place = np.empty(len(words), dtype=np.uint32)
-            place[order] = np.arange(len(words), dtype=np.uint32)
-            rows = []
+            tokens = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+            # Inside a bucket frequent words come first, so that indexes, dealt round the buckets, are small where they are many.
+            rare = -np.frexp(np.bincount(tokens, minlength=len(words)))[1]
+            order = np.array(sorted(range(len(words)), key=list(zip(home.tolist(), rare.tolist(), words)).__getitem__), dtype=np.int64)
             ends = np.searchsorted(home[order], np.arange(buckets + 1), "left")
+            rows = []
             for b in range(buckets):
                 if ends[b] < ends[b + 1]:
                     payload = "\n".join(words[i] for i in order[ends[b] : ends[b + 1]]).encode("utf-8", "surrogatepass")
-                    rows.append((block, b, None, None, zlib.compress(payload, 1)))
-            tokens = place[np.concatenate(flat)] if flat else place[:0]
-            planes = tokens.view(np.uint8).reshape(-1, 4).T.tobytes()
-            rows.append((block, -1, list(ids), [len(f) for f in flat], zlib.compress(planes, 1)))
+                    rows.append((block, b, None, None, pack.compress(payload)))
+            place = np.empty(len(words), dtype=np.uint32)
+            place[order[_round_robin(np.diff(ends))]] = np.arange(len(words), dtype=np.uint32)
+            rows.append((block, -1, list(ids), [len(f) for f in flat], pack.compress(_planes(place[tokens]))))
             serial += 1
             chars = 0
             ids.clear(), flat.clear(), index.clear()
@@ -104,31 +125,25 @@ def _encoded_words(words: DataFrame, definition: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         tokenizer, known = load(definition), {}
         for batch in batches:
             out = []
             for data in batch.column(2):
-                words = zlib.decompress(data.as_py()).decode("utf-8", "surrogatepass").split("\n")
+                words = unpack.decompress(data.as_py()).decode("utf-8", "surrogatepass").split("\n")
                 fresh = [w for w in words if w not in known]
                 for s in range(0, len(fresh), 4096):
                     some = fresh[s : s + 4096]
                     known.update((w, np.array(e.ids, dtype=np.uint32)) for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
                 ids = [known[w] for w in words]
                 sizes = np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids))
-                body = np.concatenate([np.array([len(ids)], dtype=np.uint32), sizes, *ids])
-                out.append(zlib.compress(body.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
+                out.append(pack.compress(_planes(np.concatenate([np.array([len(ids)], dtype=np.uint32), sizes, *ids]))))
             none = pa.nulls(len(out), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), none, none, pa.array(out, pa.binary())], ["block", "bucket", "doc_ids", "lengths", "data"])
 
     return words.select("block", "bucket", "data").repartition("bucket").mapInArrow(run, _PACKED)
 
 
-def _planes(data: bytes) -> np.ndarray:
-    """Unsigned 32-bit values from their four byte planes."""
-    raw = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view(np.uint32).ravel()
-
-
 def _join_positions(dictionary: DataFrame, documents: DataFrame, schema: str, emit: Callable[[list, list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
     """Each document's ids in order, through ``emit(doc_ids, ids)``: a block's word ids come first, then its documents."""
 
@@ -137,7 +152,7 @@ def _join_positions(dictionary: DataFrame, documents: DataFrame, schema: str, em
         ids: list[np.ndarray] = []
         for batch in batches:
             for row in batch.to_pylist():
-                values = _planes(row["data"])
+                values = _values(row["data"])
                 if row["rank"] >= 0:
                     n = int(values[0])
                     sizes.append(values[1 : n + 1])
@@ -145,7 +160,8 @@ def _join_positions(dictionary: DataFrame, documents: DataFrame, schema: str, em
                     continue
                 size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
                 all_ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-                start = np.cumsum(size) - size
+                turn = _round_robin(np.array([len(x) for x in sizes], dtype=np.int64))
+                start, size = (np.cumsum(size) - size)[turn], size[turn]
                 cut = np.cumsum(row["lengths"])
                 for s in range(0, len(cut), 256):
                     docs = []
