@@ -21,7 +21,7 @@ WEIGHTS = (3, 1, 2)
 #: Words of a block, the unit that the tree deals out.
 BLOCK_WORDS = 20_000
 #: Rows of a hashed range of a source, the unit of the running sums.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def word_count(text) -> F.Column:
@@ -61,12 +61,11 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 7, weights: tuple[float,
     stats = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     sizes = [r["source_size"] for r in stats]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, cap)
-    known = [(i, r["source"], r["source_size"], float(t)) for i, (r, t) in enumerate(zip(stats, targets))]
-    sources = spark.createDataFrame(known, "sid int, _source string, source_size long, target double")
-    ranges = max(1, -(-sum(r["n"] for r in stats) // RANGE_ROWS))
+    known = [(i, r["source"], r["source_size"], float(t), -(-r["n"] // RANGE_ROWS)) for i, (r, t) in enumerate(zip(stats, targets))]
+    sources = spark.createDataFrame(known, "sid int, _source string, source_size long, target double, ranges long")
 
     keyed = docs.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    keyed = keyed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "row")).withColumn("range", F.pmod(F.shiftrightunsigned("h", 1), F.lit(ranges)))
+    keyed = keyed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "row")).withColumn("range", F.pmod(F.shiftrightunsigned("h", 1), "ranges"))
     sums = keyed.groupBy("sid", "range").agg(F.sum("size").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sums.select("sid", "range", before.alias("base"))
