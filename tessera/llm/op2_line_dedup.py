@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.staging import stage
+
 RATIO = 0.1
 MIN_PAGES = 5
 
@@ -45,9 +47,10 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = R
     marks = pages.select(F.col(host_col).alias("host"), F.array_distinct(F.transform(lines, _mark)).alias("marks"))
     # A row without a mark counts the page.
     each = marks.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("marks", F.array()))).alias("mark"))
-    counted = each.groupBy("host", "mark").agg(F.count("*").alias("n"))
+    counted = each.groupBy("host", "mark").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("mark").isNull())
+    counted = stage(counted, "line-counts")
     per_host = counted.where("mark is null").select("host", F.col("n").alias("pages"))
-    often = counted.where((F.col("n") >= min_pages) & F.col("mark").isNotNull())
+    often = counted.where("mark is not null")
     kept = often.join(per_host, often["host"].eqNullSafe(per_host["host"])).where(F.col("n") > F.lit(ratio) * F.col("pages"))
     return kept.groupBy(often["host"]).agg(F.collect_list("mark").alias("marks"))
 
@@ -59,11 +62,12 @@ def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: floa
     never dropped. A page counts a line once. Null hosts form one host; null texts count as
     pages and stay null; a page that loses every line keeps an empty text. Repeated rows
     count as pages of their own. All rows and columns stay. Pages are joined with their
-    host's list (a sort-merge join that AQE splits where a host is hot, or a broadcast if
-    AQE finds the lists small); a page's text moves once at most. Names ``_host``,
+    host's list: by a broadcast if what was written is below the session's threshold, so that
+    no text moves, else by a sort-merge join that AQE splits where a host is hot. Names ``_host``,
     ``_marks`` and ``_dropped_lines`` are taken. An empty table gives no rows.
     """
-    known = boilerplate(pages, host_col, text_col, ratio, min_pages).select(F.coalesce("host", F.lit("")).alias("_host"), F.col("host").isNull().alias("_none"), F.col("marks").alias("_marks"))
+    # Written first, so that its size is known when the join is planned.
+    known = stage(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate").select(F.coalesce("host", F.lit("")).alias("_host"), F.col("host").isNull().alias("_none"), F.col("marks").alias("_marks"))
     named = pages.withColumn("_host", F.coalesce(F.col(host_col), F.lit(""))).withColumn("_none", F.col(host_col).isNull())
     joined = named.join(known, ["_host", "_none"], "left")
     lines = F.split(F.col(text_col), "\n", -1)
