@@ -99,7 +99,7 @@ _TERMS = f"list_distinct({tokens_sql('query')})"
 _POPULAR = f"""{_LOG}, each as (select time_id, cnt, unnest({_TERMS}) as term from log), bt as (select term, time_id, sum(cnt) as c from each group by all), pt as (select *, c / sum(c) over (partition by term) as p from bt),
 terms as (select term, sum(c) as c, sum(-p * ln(p)) as h from pt group by term), w as (select sum(c) as n, sum(h) as hh from terms), scored as (select term, ln((c + 200 * h) / (n + 200 * hh + 1) + 1) as s from terms, w),
 freq as (select query, freq, unnest({_TERMS}) as term from (select query, sum(cnt)::bigint as freq from log group by query))
-select query, freq, round(score, 6) as score from (select query, freq, sum(s) * sqrt(freq + 0.01::double) as score from freq join scored using (term) group by all order by round(score, 9) desc, query limit 50)"""
+select query, freq, round(score, 6) as score from (select query, freq, sum(s) * sqrt(freq + 0.01::double) as score from freq join scored using (term) group by query, freq order by round(score, 9) desc, query limit 50)"""
 _REAL = f"""{_LOG}, each as (select cnt, is_latest, unnest({_TERMS}) as term from log), terms as (select term, sum(case when is_latest then cnt else 0 end) as now_, sum(case when is_latest then 0 else cnt end) as past from each group by term), t as (select sum(now_) as n from terms),
 freq as (select query, freq, unnest({_TERMS}) as term from (select query, sum(cnt)::bigint as freq from log where is_latest group by query)),
 g as (select query, freq, sum(ln(now_ / (n + 1) + 1)) as s, avg((now_ + 1) / (past + 1)) as novelty from freq join terms using (term), t group by all)
