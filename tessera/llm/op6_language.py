@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.staging import stage
+
 UNDETERMINED = "und"
 #: Bound on the automata of all languages together, sent to every Python worker.
 MODEL_BYTES = 64_000_000
@@ -121,7 +123,8 @@ def phrases(data: np.ndarray, ends: np.ndarray, model: dict) -> np.ndarray:
     out = np.zeros((len(ends), len(model["langs"])), dtype=np.int64)
     active = np.searchsorted(-size, -np.arange(_PIECE), "left")
     for k, table in enumerate(model["tables"]):
-        root = np.maximum(table[:width], 0)
+        unseen = table[:width] < 0
+        root = np.where(unseen, 0, table[:width])
         state, count = np.zeros(len(start), dtype=np.int32), np.zeros(len(start), dtype=np.int64)
         for j in range(_PIECE):
             n = active[j]
@@ -130,7 +133,8 @@ def phrases(data: np.ndarray, ends: np.ndarray, model: dict) -> np.ndarray:
             c = column[start[:n] + j]
             to = table[state[:n] * width + c]
             stuck = to < 0
-            count[:n] += stuck
+            # A phrase ends where no longer match goes on; a byte that the language lacks is one of its own.
+            count[:n] += (stuck & (state[:n] != 0)).astype(np.int64) + (stuck & unseen[c])
             state[:n] = np.where(stuck, root[c], to)
         count += state != 0
         out[:, k] = np.bincount(owner, weights=count, minlength=len(ends)).astype(np.int64)
@@ -179,13 +183,16 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
 
     Of one text at most ``sample_bytes / 16`` characters are learnt, so that no text fills the sample.
 
-    The rank is limited before it is shuffled, so a language sends ``sample_docs`` hashes a
-    task however many rows it has. Null texts, texts and languages are passed over.
+    Hashes are thinned to about four times the sample by each language's count before they
+    are ranked, so no task ranks a whole language. Null texts and languages are passed over.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     marked = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    marked = stage(marked.distinct(), "text-hashes")
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("n"))
+    thin = marked.join(F.broadcast(marked.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < share * 1_000_000)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = marked.distinct().withColumn("r", rank).where(F.col("r") <= sample_docs).select("lang", "h")
+    chosen = thin.withColumn("r", rank).where(F.col("r") <= sample_docs).select("lang", "h")
     texts = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     # At most sample_docs rows a language; copies of a text are folded before they are sent.
     rows = texts.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_bytes // 16)).alias("text")).collect()
