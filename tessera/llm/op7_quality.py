@@ -117,3 +117,32 @@ def judge(rows: DataFrame) -> DataFrame:
 def quality(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)`` for every row of ``docs``."""
     return judge(stage(measured(docs), "quality")).select("doc_id", *FEATURES, "base_failed", "kept")
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+_BIN = f"case when v < {LEAST}::double then -1 else floor(ln(v / {LEAST}::double) / {float(np.log(BIN_RATIO))!r}::double)::int end"
+
+
+def _fences_sql(groups: str, sketch: str) -> str:
+    by = f"{groups}, measure" if groups else "measure"
+    value = f"case when bin < 0 then 0 else {LEAST}::double * pow({BIN_RATIO}::double, bin + 0.5::double) end"
+    slack = "case measure " + " ".join(f"when '{k}' then {v}::double" for k, v in SLACK.items()) + " end"
+    return f"""(select {by}, max(docs) as docs, greatest({slack}, min(value) filter (where up_to >= 0.75 * docs) + {FENCE}::double * (min(value) filter (where up_to >= 0.75 * docs) - min(value) filter (where up_to >= 0.25 * docs))) as fence
+from (select {by}, {value} as value, sum(n) over (partition by {by} order by bin) as up_to, sum(n) over (partition by {by}) as docs from {sketch}) group by {by})"""
+
+
+ORACLE = f"""with t as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text from documents),
+w as (select r, unnest(words) as word, generate_subscripts(words, 1) as i from (select r, regexp_extract_all(text, '{_WORD}+') as words from t)),
+n as (select r, count(*) as n_words, sum(length(word))::bigint as word_chars from w group by r),
+g as (select r, i, count(*) over (partition by r, gram) as times from (select r, i, word || ' ' || lead(word, 1) over x || ' ' || lead(word, 2) over x as gram from w window x as (partition by r order by i)) where gram is not null),
+rep as (select r, count(distinct spot) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as spot from g where times > 1) group by r),
+l as (select r, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(text, chr(10))) as line from t) where regexp_matches(line, '{_WORD}') group by r),
+m as (select t.r, doc_id, lang, source, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from t left join n on n.r = t.r left join rep on rep.r = t.r left join l on l.r = t.r),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+x as (select r, lang, source, unnest([{", ".join(f"'{k}'" for k in SLACK)}]) as measure, unnest([{", ".join(f"({_RATIOS[k]})::double" for k in SLACK)}]) as v, base_failed from b),
+sketch as (select lang, source, measure, {_BIN} as bin, count(*) as n from x where not base_failed group by all),
+merged as (select measure, bin, sum(n) as n from sketch group by all),
+own as {_fences_sql("lang, source", "sketch")}, general as {_fences_sql("", "merged")},
+above as (select x.r, bool_or(coalesce(x.v > coalesce(case when o.docs >= {LEAST_DOCS} then o.fence end, e.fence), false)) as high from x left join own o on o.lang is not distinct from x.lang and o.source is not distinct from x.source and o.measure = x.measure left join general e on e.measure = x.measure group by x.r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not high as kept from b join above using (r)"""

@@ -47,4 +47,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": op2_line_dedup.ORACLE,
+    "op5_chat_trees": op5_chat.ORACLE,
+    "op7_quality_rules": op7_quality.ORACLE,
 }
