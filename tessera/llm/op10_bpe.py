@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from tessera.plans.staging import stage
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 32_000_000
 #: White space on which texts are split: a part of what the tokenizer drops.
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
@@ -54,15 +54,30 @@ def _bucket(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit values as four byte planes, which compress better."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _squeezed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values for a compressor: the bit length of each (plus 1), then the lower bits of each length in byte planes."""
+    up = values.astype(np.uint64) + np.uint64(1)
+    bits = (np.frexp(up.astype(np.float64))[1] - 1).astype(np.uint8)
+    parts = [len(up).to_bytes(8, "little"), bits.tobytes()]
+    for n in range(1, 33):
+        rest = up[bits == n] - np.uint64(1 << n)
+        parts.append(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-n // 8)].T.tobytes())
+    return b"".join(parts)
 
 
 def _values(data: bytes) -> np.ndarray:
-    """Inverse of :func:`_planes` on compressed data."""
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view("<u4").ravel()
+    """Inverse of :func:`_squeezed` on compressed data."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    size = int.from_bytes(raw[:8], "little")
+    bits = np.frombuffer(raw, dtype=np.uint8, count=size, offset=8)
+    out, at = np.left_shift(np.uint64(1), bits.astype(np.uint64)), 8 + size
+    for n in range(1, 33):
+        where, width = np.flatnonzero(bits == n), -(-n // 8)
+        planes = np.frombuffer(raw, dtype=np.uint8, count=len(where) * width, offset=at).reshape(width, -1)
+        for b in range(width):
+            out[where] += planes[b].astype(np.uint64) << np.uint64(8 * b)
+        at += len(where) * width
+    return (out - np.uint64(1)).astype(np.uint32)
 
 
 def _round_robin(sizes: np.ndarray) -> np.ndarray:
@@ -100,7 +115,7 @@ def _packed_rows(texts: DataFrame, buckets: int, block_chars: int) -> DataFrame:
                     rows.append((block, b, None, None, pack.compress(payload)))
             place = np.empty(len(words), dtype=np.uint32)
             place[order[_round_robin(np.diff(ends))]] = np.arange(len(words), dtype=np.uint32)
-            rows.append((block, -1, list(ids), [len(f) for f in flat], pack.compress(_planes(place[tokens]))))
+            rows.append((block, -1, list(ids), [len(f) for f in flat], pack.compress(_squeezed(place[tokens]))))
             serial += 1
             chars = 0
             ids.clear(), flat.clear(), index.clear()
@@ -137,7 +152,7 @@ def _encoded_words(words: DataFrame, definition: str) -> DataFrame:
                     known.update((w, np.array(e.ids, dtype=np.uint32)) for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
                 ids = [known[w] for w in words]
                 sizes = np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids))
-                out.append(pack.compress(_planes(np.concatenate([np.array([len(ids)], dtype=np.uint32), sizes, *ids]))))
+                out.append(pack.compress(_squeezed(np.concatenate([np.array([len(ids)], dtype=np.uint32), sizes, *ids]))))
             none = pa.nulls(len(out), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), none, none, pa.array(out, pa.binary())], ["block", "bucket", "doc_ids", "lengths", "data"])
 
