@@ -5,6 +5,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _xlogy(k: Column, p: Column) -> Column:
@@ -37,7 +38,7 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Standard normal distribution function. SQL has no error function, so batches go through Arrow."""
     return x.map(lambda v: math.nan if v is None else 0.5 * math.erfc(-v / math.sqrt(2)))
