@@ -71,8 +71,10 @@ def _doubling(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     jumps = [reach.where("top is not null").select("node", F.col("top").alias("up"))]
     while not reach.where("top is not null").isEmpty() and (1 << (len(jumps) - 1)) <= total:
         above = reach.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("sum").alias("extra"))
-        joined = reach.join(above, "top", "left")
-        reach = stage(joined.select("node", F.col("next").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("sum") + F.coalesce("extra", F.lit(0.0))).alias("sum")), "reach")
+        # Only nodes that are still under way are joined; the others stay as they are.
+        joined = reach.where("top is not null").join(above, "top")
+        moved = joined.select("node", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("sum") + F.col("extra")).alias("sum"))
+        reach = stage(reach.where("top is null").unionByName(moved), "reach")
         jumps.append(reach.where("top is not null").select("node", F.col("top").alias("up")))
     return reach.where("top is null").select("node", "depth", "sum"), jumps
 
