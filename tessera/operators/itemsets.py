@@ -43,14 +43,15 @@ def fp_growth(sets: DataFrame, min_support: int) -> DataFrame:
 def maximal_sets(sets: DataFrame) -> DataFrame:
     """``(set_id)`` of sets that are no proper subset of another; equal sets all stay.
 
-    Each set is looked up by its rarest item only: a superset must hold it, and the matches
-    are counted item by item, so no pair without a common rare item is ever formed.
+    Equal sets are folded first. Each is then looked up by its rarest item only, which a
+    superset must hold, so no pair without a common rare item is ever formed.
     """
-    rows = sets.select("set_id", "item").distinct()
+    held = sets.groupBy("set_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    kinds = stage(held.groupBy("items").agg(F.min("set_id").alias("kind")).withColumn("size", F.size("items")), "kinds")
+    rows = kinds.select("kind", "size", "items", F.explode("items").alias("item"))
     spread = rows.groupBy("item").agg(F.count("*").alias("n"))
-    sized = rows.groupBy("set_id").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("item")).alias("items"))
-    rarest = rows.join(spread, "item").groupBy("set_id").agg(F.min(F.struct("n", "item")).getField("item").alias("item"))
-    small = sized.join(rarest, "set_id")
-    holder = rows.join(sized, "set_id").select("item", F.col("set_id").alias("other"), F.col("size").alias("other_size"), F.col("items").alias("other_items"))
+    rarest = rows.join(spread, "item").groupBy("kind").agg(F.min(F.struct("n", "item")).getField("item").alias("item"))
+    small = kinds.join(rarest, "kind")
+    holder = rows.select("item", F.col("size").alias("other_size"), F.col("items").alias("other_items"))
     inside = small.join(holder, "item").where((F.col("other_size") > F.col("size")) & (F.size(F.array_except("items", "other_items")) == 0))
-    return sized.join(inside.select("set_id").distinct(), "set_id", "left_anti").select("set_id")
+    return held.join(inside.select("items").distinct(), "items", "left_anti").select("set_id")
