@@ -23,13 +23,13 @@ def _click_rates(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ratings(s: SparkSession, d: str) -> DataFrame:
-    r = s.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 20 = 0").select(F.xxhash64("l_orderkey", "l_linenumber").alias("row_id"), (F.col("l_suppkey") % 10).alias("a"), (F.col("l_partkey") % 10 + 10).alias("b"), (F.col("l_quantity") / 10).alias("label"))
+    r = s.read.parquet(f"{d}/lineitem.parquet").select(F.xxhash64("l_orderkey", "l_linenumber").alias("row_id"), (F.col("l_suppkey") % 10).alias("a"), (F.col("l_partkey") % 10 + 10).alias("b"), (F.col("l_quantity") / 10).alias("label"))
     features = F.array(*[F.struct(F.col(c).cast("long").alias("feature"), F.lit(1.0).alias("value")) for c in "ab"])
     return r.select(F.concat(F.lit("m"), F.col("a") % 4).alias("model"), F.col("row_id").alias("seq"), "row_id", features.alias("features"), "label")
 
 
 def _fm_fixed(s: SparkSession, d: str) -> DataFrame:
-    line = s.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 20 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), (F.col("l_suppkey") % 10).alias("a"), (F.col("l_partkey") % 10 + 10).alias("b"))
+    line = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), (F.col("l_suppkey") % 10).alias("a"), (F.col("l_partkey") % 10 + 10).alias("b"))
     rows = line.select("row_id", F.explode(F.array("a", "b")).alias("feature"), F.lit(1.0).alias("value"))
     weights = s.range(20).select(F.col("id").alias("feature"), (F.col("id") / 100).alias("w"), F.array((F.col("id") / 20), F.lit(0.5) - F.col("id") / 40).alias("v"))
     return ml.fm_predict(rows, 0.5, weights, 2, 0.0, 1.0).select("row_id", F.round("y", 6).alias("y"))
@@ -138,10 +138,10 @@ t{_i} as (select t.feature, t.outcome, t.theta + ln(o.seen / m.model) / 3 as the
 ORACLE = {
     "ctr_ad_forget": f"with {_IMP} select model, feature, round({_FRESH} * ((1 - 0.08::double) * mean / variance + 0.08::double * 0 / 400), 6) as mean, round({_FRESH}, 6) as variance from weights",
     "ctr_linear_predict": f"with {_IMP} select row_id, round(1 / (1 + exp(-sum(w))), 6) as p from imp join weights using (model, feature) group by row_id",
-    "fm_predict": """with x as (select l_orderkey * 10 + l_linenumber as row_id, unnest([l_suppkey % 10, l_partkey % 10 + 10]) as f from lineitem where l_orderkey % 20 = 0),
+    "fm_predict": """with x as (select l_orderkey * 10 + l_linenumber as row_id, unnest([l_suppkey % 10, l_partkey % 10 + 10]) as f from lineitem),
 s as (select row_id, sum(f / 100) as lin, sum(f / 20) as a, sum((f / 20) * (f / 20)) as a2, sum(0.5::double - f / 40) as b, sum((0.5::double - f / 40) * (0.5::double - f / 40)) as b2 from x group by row_id)
 select row_id, round(least(greatest(0.5::double + lin + (a * a - a2) / 2 + (b * b - b2) / 2, 0), 1), 6) as y from s""",
-    "fm_rmse": "select round(sqrt(avg((2.5::double - l_quantity / 10) * (2.5::double - l_quantity / 10))), 6) as rmse from lineitem where l_orderkey % 20 = 0",
+    "fm_rmse": "select round(sqrt(avg((2.5::double - l_quantity / 10) * (2.5::double - l_quantity / 10))), 6) as rmse from lineitem",
     "maxent_events": f"with {_LAB} select array_to_string(f, ',') as features, outcome, count(*) as n from lab group by all having count(*) >= 2",
     "maxent_train": f"with {_GIS} select feature, outcome, round(theta, 6) as theta from t5",
     "maxent_predict": f"with {_GIS}, z as (select l.row_id, t.outcome, sum(t.theta) as s from (select row_id, unnest(f) as feature from lab) l join t5 t using (feature) group by all), q as (select l.row_id, x.outcome, exp(coalesce(z.s, 0)) as e from lab l cross join outs x left join z on z.row_id = l.row_id and z.outcome = x.outcome) select row_id, outcome, round(e / sum(e) over (partition by row_id), 6) as p from q",

@@ -1,4 +1,4 @@
-"""Query-log, correction and concept queries: user turns of ``conversations`` are the log, turns its time slices."""
+"""Query-log, correction and concept queries: names of ordered parts are the log, line numbers its time slices."""
 
 from __future__ import annotations
 
@@ -11,9 +11,8 @@ from tessera.plans.staging import stage
 
 
 def _log(s: SparkSession, d: str) -> DataFrame:
-    c = s.read.parquet(f"{d}/conversations.parquet").where("role = 'user'")
-    words = F.array_join(F.slice(tokens(F.col("text")), 1, 2), " ")
-    log = c.select(F.col("turn").alias("time_id"), words.alias("query")).where("query <> ''").groupBy("time_id", "query").agg(F.count("*").alias("cnt"))
+    lines, parts = s.read.parquet(f"{d}/lineitem.parquet"), s.read.parquet(f"{d}/part.parquet")
+    log = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_linenumber").alias("time_id"), F.col("p_name").alias("query")).agg(F.count("*").alias("cnt"))
     return stage(log.withColumn("is_latest", F.col("time_id") >= 4), "log")
 
 
@@ -22,7 +21,7 @@ def _model(s: SparkSession, d: str) -> DataFrame:
 
 
 def _update(s: SparkSession, d: str) -> DataFrame:
-    log = _log(s, d).where("time_id = 0").select("query", F.col("cnt").alias("df"))
+    log = _log(s, d).select("query", F.col("cnt").alias("df"))
     return q.update_character_model(_model(s, d), log).select("gram", "n", F.round("p", 8).alias("p"))
 
 
@@ -68,7 +67,7 @@ def _readings(s: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:
-    p = _phrases(s, d).where("length(concept) < 14")
+    p = _phrases(s, d)
     first = F.substring("concept", 1, 2)
     a, b = p.select(F.col("concept").alias("a"), first.alias("k")), p.select(F.col("concept").alias("b"), first.alias("k"))
     return a.join(b, "k").where("a < b").where(duplicate_label(F.col("a"), F.col("b"))).select("a", "b")
@@ -94,7 +93,7 @@ _RUNS = "runs as (select unnest(regexp_extract_all(text, '\\p{L}+')) as run from
 _MODEL = f"""{_RUNS}, two as (select b.gram, b.n, b.c, b.c / u.c as p from counts b join counts u on u.gram = substr(b.gram, 1, 1) and u.n = 1 where b.n = 2),
 three as (select t.gram, t.n, t.c / w.c as p, w.p as hp from counts t join two w on w.gram = substr(t.gram, 1, 2) where t.n = 3),
 model as (select gram, n, c / (select sum(c) from counts where n = 1) as p from counts where n = 1 union all select gram, n, p from two where p >= 0.0015::double union all select gram, n, p from three where hp * p >= 0.00015::double)"""
-_LOG = f"log as (select * from (select turn as time_id, array_to_string(({tokens_sql('text')})[1:2], ' ') as query, count(*) as cnt, turn >= 4 as is_latest from conversations where role = 'user' group by all) where query <> '')"
+_LOG = "log as (select l_linenumber as time_id, p_name as query, count(*) as cnt, l_linenumber >= 4 as is_latest from lineitem join part on l_partkey = p_partkey group by all)"
 _TERMS = f"list_distinct({tokens_sql('query')})"
 _POPULAR = f"""{_LOG}, each as (select time_id, cnt, unnest({_TERMS}) as term from log), bt as (select term, time_id, sum(cnt) as c from each group by all), pt as (select *, c / sum(c) over (partition by term) as p from bt),
 terms as (select term, sum(c) as c, sum(-p * ln(p)) as h from pt group by term), w as (select sum(c) as n, sum(h) as hh from terms), scored as (select term, ln((c + 200 * h) / (n + 200 * hh + 1) + 1) as s from terms, w),
@@ -109,7 +108,7 @@ _PHRASES = f"{_LOG}, phrases as (select distinct query as concept from log)"
 _N = "(select count(*) from documents)::double"
 ORACLE = {
     "char_model_train": f"with {_MODEL} select gram, n, round(p, 8) as p from model",
-    "char_model_update": f"""with {_MODEL}, {_LOG}, spots2 as (select query, cnt, unnest(range(1, length(query) + 1)) as i from log where time_id = 0),
+    "char_model_update": f"""with {_MODEL}, {_LOG}, spots2 as (select query, cnt, unnest(range(1, length(query) + 1)) as i from log),
 added as (select substr(query, i, 1) as gram, 1 as n, cnt * 1e-6::double as p from spots2 union all select substr(query, i, 2), 2, cnt * 0.004::double from spots2 where i + 2 <= length(query) + 1 union all select substr(query, i, 3), 3, cnt * 0.004::double from spots2 where i + 3 <= length(query) + 1)
 select gram, n::int as n, round(sum(p), 8) as p from (select gram, n, p from model union all select * from added) group by all""",
     "popular_queries": f"with {_POPULAR}",
@@ -119,5 +118,5 @@ select gram, n::int as n, round(sum(p), 8) as p from (select gram, n, p from mod
 select concept, df, round(case when k > 10 and df > k / 3.5 then 0 else ln(df + 1) / ln((sqrt(g + 1) + 1) / ln({_N} + 2) + 2) end, 6) as score, round(case when k > 10 and df > k / 3.5 then 0 else ln(df + 1) / ln((g + greatest(2, {_N} / 10000)) / ln(sqrt({_N} + 1) + 1) + 1) end, 6) as rank_score from d join g using (concept), nd""",
     "concept_containment": f"with {_MEMBERS}, sizes as (select concept, count(*) as n from members group by concept), met as (select a.concept as a, b.concept as b, count(*) as shared from members a join members b on a.doc_id = b.doc_id and a.concept <> b.concept group by all) select a, b, shared, round(shared / n, 6) as contain from met join sizes on concept = b where shared / n between 0.3::double and 1",
     "concept_sibship": f"with {_PHRASES}, t as (select concept, len({tokens_sql('concept')}) as n, unnest({tokens_sql('concept')}) as term, generate_subscripts({tokens_sql('concept')}, 1) as i from phrases) select a.concept as a, b.concept as b, count(*) as equal from t a join t b on a.n = b.n and a.i = b.i and a.term = b.term and a.concept < b.concept group by all",
-    "label_duplicates": f"with {_PHRASES}, p as (select concept, {tokens_sql('concept')} as t from phrases where length(concept) < 14) select a.concept as a, b.concept as b from p a join p b on a.concept < b.concept and left(a.concept, 2) = left(b.concept, 2) where len(a.t) = len(b.t) and list_transform(a.t, lambda x: left(x, 1)) = list_transform(b.t, lambda x: left(x, 1)) and levenshtein(lower(a.concept), lower(b.concept)) < 4",
+    "label_duplicates": f"with {_PHRASES}, p as (select concept, {tokens_sql('concept')} as t from phrases) select a.concept as a, b.concept as b from p a join p b on a.concept < b.concept and left(a.concept, 2) = left(b.concept, 2) where len(a.t) = len(b.t) and list_transform(a.t, lambda x: left(x, 1)) = list_transform(b.t, lambda x: left(x, 1)) and levenshtein(lower(a.concept), lower(b.concept)) < 4",
 }
