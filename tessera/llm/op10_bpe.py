@@ -33,6 +33,8 @@ from tessera.plans.staging import stage
 BLOCK_CHARS = 32_000_000
 #: White space on which texts are split: a part of what the tokenizer drops.
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+#: Values whose bit lengths are taken at once.
+_STEP = 1 << 18
 _ODD = re.compile(r"[\x1c-\x1f]")
 _PACKED = "block string, bucket int, doc_ids array<bigint>, lengths array<bigint>, data binary"
 
@@ -55,13 +57,15 @@ def _bucket(word: str, buckets: int) -> int:
 
 
 def _squeezed(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit values for a compressor: the bit length of each (plus 1), then the lower bits of each length in byte planes."""
-    up = values.astype(np.uint64) + np.uint64(1)
-    bits = (np.frexp(up.astype(np.float64))[1] - 1).astype(np.uint8)
+    """Values below 2^32 - 1 for a compressor: the bit length of each (plus 1), then the lower bits of each length in byte planes."""
+    up = values.astype(np.uint32) + np.uint32(1)
+    bits = np.empty(len(up), dtype=np.uint8)
+    for at in range(0, len(up), _STEP):
+        bits[at : at + _STEP] = np.frexp(up[at : at + _STEP].astype(np.float64))[1] - 1
     parts = [len(up).to_bytes(8, "little"), bits.tobytes()]
-    for n in range(1, 33):
-        rest = up[bits == n] - np.uint64(1 << n)
-        parts.append(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-n // 8)].T.tobytes())
+    for n in range(1, 32):
+        rest = up[bits == n] - np.uint32(1 << n)
+        parts.append(rest.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : -(-n // 8)].T.tobytes())
     return b"".join(parts)
 
 
@@ -70,14 +74,14 @@ def _values(data: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(data)
     size = int.from_bytes(raw[:8], "little")
     bits = np.frombuffer(raw, dtype=np.uint8, count=size, offset=8)
-    out, at = np.left_shift(np.uint64(1), bits.astype(np.uint64)), 8 + size
-    for n in range(1, 33):
+    out, at = np.left_shift(np.uint32(1), bits.astype(np.uint32)), 8 + size
+    for n in range(1, 32):
         where, width = np.flatnonzero(bits == n), -(-n // 8)
         planes = np.frombuffer(raw, dtype=np.uint8, count=len(where) * width, offset=at).reshape(width, -1)
         for b in range(width):
-            out[where] += planes[b].astype(np.uint64) << np.uint64(8 * b)
+            out[where] += planes[b].astype(np.uint32) << np.uint32(8 * b)
         at += len(where) * width
-    return (out - np.uint64(1)).astype(np.uint32)
+    return out - np.uint32(1)
 
 
 def _round_robin(sizes: np.ndarray) -> np.ndarray:
@@ -106,7 +110,9 @@ def _packed_rows(texts: DataFrame, buckets: int, block_chars: int) -> DataFrame:
             tokens = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
             # Inside a bucket frequent words come first, so that indexes, dealt round the buckets, are small where they are many.
             rare = -np.frexp(np.bincount(tokens, minlength=len(words)))[1]
-            order = np.array(sorted(range(len(words)), key=list(zip(home.tolist(), rare.tolist(), words)).__getitem__), dtype=np.int64)
+            letters = np.empty(len(words), dtype=np.int64)
+            letters[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+            order = np.lexsort((letters, rare, home))
             ends = np.searchsorted(home[order], np.arange(buckets + 1), "left")
             rows = []
             for b in range(buckets):
