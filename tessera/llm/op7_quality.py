@@ -1,9 +1,11 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Each document's ratios go into one sketch for each (language, source): counts of
+Each document's measures go into one sketch for each (language, source): counts of
 logarithmic bins, which merge by addition, give quantiles within a fixed relative error,
-and come out the same in any order. An upper fence from each group's own quartiles
-replaces a fixed cutoff; documents are joined with their group's fences and filtered.
+and come out the same in any order. A group's sketch is filled up with a few documents'
+worth of its language's sketch and of that of all, so small groups need no rule of their
+own. Fences set from the quartiles of that sketch, on the logarithmic scale, replace fixed
+cutoffs; documents are joined with their group's fences and filtered.
 """
 
 from __future__ import annotations
@@ -18,20 +20,28 @@ from pyspark.sql import functions as F
 from tessera.plans.staging import stage
 
 SYMBOLS = "#*$%&|<>"
-#: Ratio of neighbouring bins: quantiles are within 2.5 % of a value of the group.
-BIN_RATIO = 1.05
-#: Values below this share the bin of zero.
-LEAST = 1e-4
-#: The fence is q75 + FENCE * (q75 - q25), and never below the slack of its ratio.
-FENCE = 3.0
-SLACK = {"symbols": 0.1, "dup_lines": 1.0, "repeats": 0.3}
-#: Groups with fewer documents take the fences of all documents.
-LEAST_DOCS = 30
-_RATIOS = {
-    "symbols": "n_symbols / greatest(n_words, 1)",
-    "dup_lines": "n_dup_lines / greatest(sqrt(n_words), 1)",
-    "repeats": "n_repeat_words / greatest(n_words, 1)",
+#: Ratio of neighbouring bins: quantiles are within half a percent of a value of the group.
+BIN_RATIO = 1.005
+_LOG = float(np.log(BIN_RATIO))
+#: Documents' worth that a language's sketch, and that of all, add to each group's.
+PRIOR_DOCS = 50
+#: Sketches are added in these parts of a document, in whole numbers.
+_PARTS = 1_000_000
+#: Measures, never zero: rates count one more than was seen, so that a short document without
+#: a finding is not told apart from one with few. Quartiles of rates then follow a group's
+#: lengths as well as what it holds.
+MEASURES = {
+    "symbols": "(n_symbols + 1) / cast(n_words + 1 as double)",
+    "dup_lines": "(n_dup_lines + 1) / cast(n_words + 1 as double)",
+    "repeats": "(n_repeat_words + 1) / cast(n_words + 1 as double)",
+    "word_length": "greatest(word_chars, 1) / cast(greatest(n_words, 1) as double)",
 }
+#: Fences lie so many times the distance of a group's quartiles beyond them; only that of the
+#: word length has a lower one.
+SPREADS = {"symbols": 2, "dup_lines": 3, "repeats": 4, "word_length": 3}
+TWO_SIDED = ("word_length",)
+#: Quartiles count as so many bins apart at least (2.5 %), where nearly all values are one.
+LEAST_SPREAD = 5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -70,48 +80,70 @@ def measured(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", so
     return read.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{f} long" for f in FEATURES))
 
 
+def bin_of(value: str) -> str:
+    """SQL of the logarithmic bin of a positive value, understood alike by Spark and DuckDB."""
+    return f"cast(floor(ln({value}) / cast('{_LOG!r}' as double)) as int)"
+
+
 def sketches(rows: DataFrame, groups: list[str], values: dict[str, str]) -> DataFrame:
     """``(*groups, measure, bin, n)``: the log-bin sketch of each value expression in each group. Sketches of parts add up."""
-    bins = [F.struct(F.lit(k).alias("measure"), F.when(F.expr(v) < LEAST, F.lit(-1)).otherwise(F.floor(F.log(F.expr(v) / LEAST) / np.log(BIN_RATIO))).cast("int").alias("bin")) for k, v in values.items()]
+    bins = [F.struct(F.lit(k).alias("measure"), F.expr(bin_of(v)).alias("bin")) for k, v in values.items()]
     return rows.select(*groups, F.inline(F.array(*bins))).groupBy(*groups, "measure", "bin").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """``(*groups, docs, <measure>...)``: each group's upper fence, and its number of documents."""
-    up_to = F.sum("n").over(Window.partitionBy(*groups, "measure").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy(*groups, "measure"))
-    value = F.when(F.col("bin") < 0, F.lit(0.0)).otherwise(F.lit(LEAST) * F.pow(F.lit(BIN_RATIO), F.col("bin") + 0.5))
-    read = sketch.select(*groups, "measure", value.alias("value"), up_to.alias("up_to"), total.alias("docs"))
-    quarter = [F.min(F.when(F.col("up_to") >= q * F.col("docs"), F.col("value"))).alias(f"q{int(q * 100)}") for q in (0.25, 0.75)]
-    quartiles = read.groupBy(*groups, "measure").agg(F.max("docs").alias("docs"), *quarter)
-    slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("measure"))
-    fence = F.greatest(slack, F.col("q75") + FENCE * (F.col("q75") - F.col("q25")))
-    return quartiles.withColumn("fence", fence).groupBy(*groups).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == k, F.col("fence"))).alias(k) for k in SLACK])
+def filled(sketch: DataFrame) -> DataFrame:
+    """Each (lang, source) sketch with ``PRIOR_DOCS`` documents' worth of its language's and of all added, in ``_PARTS``."""
+    groups = sketch.select("lang", "source").distinct()
+    upper = sketch.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n"))
+    every = upper.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
+
+    def worth(counts: DataFrame, by: list[str]) -> DataFrame:
+        whole = F.sum("n").over(Window.partitionBy(*by, "measure"))
+        return counts.withColumn("whole", whole).select(*by, "measure", "bin", F.expr(f"n * {PRIOR_DOCS * _PARTS}L div whole").alias("w"))
+
+    own = sketch.select("lang", "source", "measure", "bin", (F.col("n") * _PARTS).alias("w"))
+    language = worth(upper, ["lang"]).withColumnRenamed("lang", "_lang")
+    language = groups.join(language, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
+    measures = F.explode(F.array(*[F.lit(k) for k in MEASURES])).alias("measure")
+    general = groups.select("lang", "source", measures).join(worth(every, []), "measure")
+    parts = own.unionByName(language).unionByName(general)
+    return parts.groupBy("lang", "source", "measure", "bin").agg(F.sum("w").alias("w"))
+
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """``(lang, source, limits)``: by measure each group's fences ``low`` and ``high``, in bins, from its :func:`filled` sketch."""
+    by = ["lang", "source", "measure"]
+    up_to = F.sum("w").over(Window.partitionBy(*by).orderBy("bin"))
+    read = sketch.select(*by, "bin", up_to.alias("up_to"), F.sum("w").over(Window.partitionBy(*by)).alias("whole"))
+    quarter = [F.min(F.when(4 * F.col("up_to") >= k * F.col("whole"), F.col("bin"))).alias(f"q{k}") for k in (1, 3)]
+    spreads = F.create_map(*[F.lit(x) for kv in SPREADS.items() for x in kv])
+    beyond = F.element_at(spreads, F.col("measure")) * F.greatest(F.lit(LEAST_SPREAD), F.col("q3") - F.col("q1"))
+    low = F.when(F.col("measure").isin(*TWO_SIDED), F.col("q1") - beyond)
+    limit = F.struct(low.alias("low"), (F.col("q3") + beyond).alias("high"))
+    limits = read.groupBy(*by).agg(*quarter).withColumn("limit", limit)
+    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col("limit"))).alias(k) for k in MEASURES])
 
 
 def judge(rows: DataFrame) -> DataFrame:
     """``rows`` of :func:`measured` with ``base_failed`` and ``kept``.
 
     A document fails the base for fewer than 50 words, or with more than half of its words
-    in repeated windows. One that passes is kept unless a ratio lies above the fence of its
-    (language, source); null languages and sources form groups of their own. Fences are
-    learnt from documents that pass the base; groups with fewer than ``LEAST_DOCS`` use those
-    of all. Repeated rows count and stay. One count a group, measure and bin is shuffled.
+    in repeated windows. One that passes is kept if no measure lies beyond the fences of
+    its (language, source); null languages and sources form groups of their own. Fences are
+    learnt from documents that pass the base. Repeated rows count and stay; empty and very
+    long texts are measured like others. One count a group, measure and bin is shuffled.
+    An empty table gives no rows.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    sketch = stage(sketches(rows.where(~F.col("base_failed")), ["lang", "source"], _RATIOS), "sketch")
-    own = fences(sketch, ["lang", "source"])
-    # Sketches add up, so the fences of all come from the groups' sketches.
-    every = fences(sketch.groupBy(F.lit(0).alias("all"), "measure", "bin").agg(F.sum("n").alias("n")), ["all"])
-    own = own.select("lang", "source", *[F.when(F.col("docs") >= LEAST_DOCS, F.col(k)).alias(k) for k in SLACK])
-    general = every.select(*SLACK).first()
-    limit = {k: F.coalesce(F.col(f"own.{k}"), F.lit(float(general[k]) if general else None).cast("double")) for k in SLACK}
+    sketch = stage(sketches(rows.where(~F.col("base_failed")), ["lang", "source"], MEASURES), "sketch")
+    own = fences(filled(sketch))
     joined = rows.alias("r").join(own.alias("own"), F.col("r.lang").eqNullSafe(F.col("own.lang")) & F.col("r.source").eqNullSafe(F.col("own.source")), "left")
-    above = F.lit(False)
-    for k, v in _RATIOS.items():
-        above = above | F.coalesce(F.expr(v) > limit[k], F.lit(False))
-    return joined.select("r.*", (~F.col("base_failed") & ~above).alias("kept"))
+    beyond = F.lit(False)
+    for k, v in MEASURES.items():
+        at = F.expr(bin_of(v))
+        beyond = beyond | F.coalesce(at > F.col(f"own.{k}.high"), F.lit(False)) | F.coalesce(at < F.col(f"own.{k}.low"), F.lit(False))
+    return joined.select("r.*", (~F.col("base_failed") & ~beyond).alias("kept"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -120,15 +152,14 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 _WORD = r"[^\x20\x09-\x0D]"
-_BIN = f"case when v < {LEAST}::double then -1 else floor(ln(v / {LEAST}::double) / {float(np.log(BIN_RATIO))!r}::double)::int end"
 
 
-def _fences_sql(groups: str, sketch: str) -> str:
-    by = f"{groups}, measure" if groups else "measure"
-    value = f"case when bin < 0 then 0 else {LEAST}::double * pow({BIN_RATIO}::double, bin + 0.5::double) end"
-    slack = "case measure " + " ".join(f"when '{k}' then {v}::double" for k, v in SLACK.items()) + " end"
-    return f"""(select {by}, max(docs) as docs, greatest({slack}, min(value) filter (where up_to >= 0.75 * docs) + {FENCE}::double * (min(value) filter (where up_to >= 0.75 * docs) - min(value) filter (where up_to >= 0.25 * docs))) as fence
-from (select {by}, {value} as value, sum(n) over (partition by {by} order by bin) as up_to, sum(n) over (partition by {by}) as docs from {sketch}) group by {by})"""
+def _worth_sql(table: str, by: str) -> str:
+    return f"select {by}measure, bin, n * {PRIOR_DOCS * _PARTS} // sum(n) over (partition by {by}measure)::bigint as w from {table}"
+
+
+def _cases(values: dict) -> str:
+    return "case measure " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + " end"
 
 
 ORACLE = f"""with t as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as text from documents),
@@ -140,9 +171,17 @@ l as (select r, count(*) - count(distinct line) as n_dup_lines from (select r, u
 m as (select t.r, doc_id, lang, source, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
   from t left join n on n.r = t.r left join rep on rep.r = t.r left join l on l.r = t.r),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
-x as (select r, lang, source, unnest([{", ".join(f"'{k}'" for k in SLACK)}]) as measure, unnest([{", ".join(f"({_RATIOS[k]})::double" for k in SLACK)}]) as v, base_failed from b),
-sketch as (select lang, source, measure, {_BIN} as bin, count(*) as n from x where not base_failed group by all),
-merged as (select measure, bin, sum(n) as n from sketch group by all),
-own as {_fences_sql("lang, source", "sketch")}, general as {_fences_sql("", "merged")},
-above as (select x.r, bool_or(coalesce(x.v > coalesce(case when o.docs >= {LEAST_DOCS} then o.fence end, e.fence), false)) as high from x left join own o on o.lang is not distinct from x.lang and o.source is not distinct from x.source and o.measure = x.measure left join general e on e.measure = x.measure group by x.r)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not high as kept from b join above using (r)"""
+x as (select r, lang, source, unnest([{", ".join(f"'{k}'" for k in MEASURES)}]) as measure, unnest([{", ".join(bin_of(v) for v in MEASURES.values())}]) as bin from b where not base_failed),
+sketch as (select lang, source, measure, bin, count(*) as n from x group by all),
+groups as (select distinct lang, source from sketch),
+upper as (select lang, measure, bin, sum(n)::bigint as n from sketch group by all),
+every as (select measure, bin, sum(n)::bigint as n from upper group by all),
+parts as (select lang, source, measure, bin, n * {_PARTS} as w from sketch
+  union all select g.lang, g.source, u.measure, u.bin, u.w from groups g join ({_worth_sql("upper", "lang, ")}) u on g.lang is not distinct from u.lang
+  union all select g.lang, g.source, e.measure, e.bin, e.w from groups g cross join ({_worth_sql("every", "")}) e),
+full_ as (select lang, source, measure, bin, sum(w)::bigint as w from parts group by all),
+cum as (select lang, source, measure, bin, sum(w) over (partition by lang, source, measure order by bin) as up_to, sum(w) over (partition by lang, source, measure) as whole from full_),
+q as (select lang, source, measure, min(bin) filter (where 4 * up_to >= whole) as q1, min(bin) filter (where 4 * up_to >= 3 * whole) as q3 from cum group by all),
+f as (select lang, source, measure, q3 + {_cases(SPREADS)} * greatest({LEAST_SPREAD}, q3 - q1) as high, case when measure in ({", ".join(f"'{k}'" for k in TWO_SIDED)}) then q1 - {_cases(SPREADS)} * greatest({LEAST_SPREAD}, q3 - q1) end as low from q),
+out_ as (select x.r, bool_or(x.bin > f.high or coalesce(x.bin < f.low, false)) as beyond from x join f on f.lang is not distinct from x.lang and f.source is not distinct from x.source and f.measure = x.measure group by x.r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(beyond, false) as kept from b left join out_ using (r)"""

@@ -310,6 +310,66 @@ def test_op7_rows(docs, empty):
     assert op7_quality.quality(empty).count() == 0
 
 
+def brute_kept(rows):
+    """Verdicts of ``(lang, source, features)`` rows by whole sorted lists, weighted as the sketches are."""
+    import math
+
+    values = [(f[2] + 1) / (f[0] + 1) for *_, f in rows], [(f[3] + 1) / (f[0] + 1) for *_, f in rows], [(f[4] + 1) / (f[0] + 1) for *_, f in rows], [f[1] / max(f[0], 1) for *_, f in rows]
+    good = [i for i, (*_, f) in enumerate(rows) if f[0] >= 50 and 2 * f[4] <= f[0]]
+    kept = [i in set(good) for i in range(len(rows))]
+    for measure, of in zip(op7_quality.MEASURES, values):
+        at = {i: math.floor(math.log(of[i]) / op7_quality._LOG) for i in good}
+        every, upper = Counter(at.values()), defaultdict(Counter)
+        for i in good:
+            upper[rows[i][0]][at[i]] += 1
+        for group in {rows[i][:2] for i in good}:
+            own = Counter({b: n * 10**6 for b, n in Counter(at[i] for i in good if rows[i][:2] == group).items()})
+            for counts in (upper[group[0]], every):
+                own.update({b: n * op7_quality.PRIOR_DOCS * 10**6 // sum(counts.values()) for b, n in counts.items()})
+            whole, run, q = sum(own.values()), 0, {}
+            for b in sorted(own):
+                run += own[b]
+                for k in (1, 3):
+                    if 4 * run >= k * whole:
+                        q.setdefault(k, b)
+            reach = op7_quality.SPREADS[measure] * max(op7_quality.LEAST_SPREAD, q[3] - q[1])
+            for i in good:
+                if rows[i][:2] == group and (at[i] > q[3] + reach or measure == "word_length" and at[i] < q[1] - reach):
+                    kept[i] = False
+    return kept
+
+
+def quality_rows(symbols, n=400, seed=4):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [rng.choice(["alpha", "be", "gamma", "delta", "of", "zeta", "in"]) + rng.choice(["", "x", "yy", "zzz"]) + str(rng.randrange(500)) for _ in range(rng.choice([30, 60, 90, 150, 400, 900]))]
+        source = rng.choice(["a", "a", "b", None])
+        for k in range(len(words)):
+            if rng.random() < symbols.get(source, 0) or i % 23 == 0 and rng.random() < 0.4:
+                words[k] += "#"
+        rows.append((i, " ".join(words), rng.choice(["en", None]), source, None))
+    return rows
+
+
+def test_op7_verdicts_against_brute_force(spark):
+    found = {}
+    for name, symbols in (("plain", {}), ("shifted", {"b": 0.5})):
+        rows = quality_rows(symbols)
+        out = {r.doc_id: r.kept for r in op7_quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
+        want = brute_kept([(lang, source, brute_features(t)) for _, t, lang, source, _ in rows])
+        assert [out[r[0]] for r in rows] == want
+        found[name] = {r[0] for r, k in zip(rows, want) if not k and len(r[1].split()) >= 50 and r[0] % 23 == 0 and r[3] == "b"}
+    # Once most of a group holds symbols, a document with as many is no longer rejected.
+    assert found["plain"] and not found["shifted"]
+
+
+def test_op7_fences_differ_between_groups(spark):
+    rows = op7_quality.measured(spark.createDataFrame(quality_rows({"a": 0.1}), DOCS)).where("n_words >= 50")
+    limits = op7_quality.fences(op7_quality.filled(op7_quality.sketches(rows, ["lang", "source"], op7_quality.MEASURES))).collect()
+    assert len(limits) == 6 and len({r.symbols.high for r in limits}) >= 4
+
+
 def test_op7_sketches_merge(spark):
     df = spark.createDataFrame([(i % 2, float(i)) for i in range(1000)], "g int, v double")
     q = op7_quality.sketches(df, ["g"], {"symbols": "v"}).groupBy("measure", "bin").agg(F.sum("n").alias("n"))
