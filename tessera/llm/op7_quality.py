@@ -81,8 +81,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", so
 
 
 def bin_of(value: str) -> str:
-    """SQL of the logarithmic bin of a positive value, understood alike by Spark and DuckDB."""
-    return f"cast(floor(ln({value}) / cast('{_LOG!r}' as double)) as int)"
+    """SQL of a value's logarithmic bin, understood alike by Spark and DuckDB; values below a billionth share its bin."""
+    return f"cast(floor(ln(greatest({value}, cast('1e-9' as double))) / cast('{_LOG!r}' as double)) as int)"
 
 
 def sketches(rows: DataFrame, groups: list[str], values: dict[str, str]) -> DataFrame:

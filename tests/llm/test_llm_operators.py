@@ -168,6 +168,42 @@ def test_op3_rows_follow_the_counts(docs):
     assert set(shards) <= set(range(16))
 
 
+def test_op3_draw_against_brute_force(spark):
+    """The same blocks, quotas and shards by plain lists; each block goes to one shard a turn, and shards are as full as the tree says."""
+    rng = random.Random(6)
+    blocks = [(s, b, rng.randrange(1, 90)) for s, n in ((0, 40), (1, 7), (2, 1)) for b in range(n)] + [(1, 7, 0)]
+    size = Counter()
+    for s, _, w in blocks:
+        size[s] += w
+    targets = {0: size[0] * 1.3, 1: size[1] * 2.0, 2: 0.5}
+    df = spark.createDataFrame(blocks, "sid int, block long, words long")
+    known = spark.createDataFrame([(s, float(t), 3) for s, t in targets.items()], "sid int, target double, ranges long")
+    drawn = op3_mixing.draw(df, known, 3, 4, 7, 2.0).collect()
+    assert len({(r.sid, r.block, r.turn) for r in drawn}) == len(drawn)
+    words = {(s, b): w for s, b, w in blocks}
+    for s, t in targets.items():
+        mine = [r for r in drawn if r.sid == s]
+        assert abs(sum(words[s, r.block] if r.cut is None else r.cut for r in mine) - t) < 1e-6
+        if t >= size[s]:
+            assert {r.block for r in mine if r.turn == 0} == {b for x, b, w in blocks if x == s and w}
+    counts = [sum(r.sid == s for r in drawn) for s in range(3)]
+    capacity = [(sum(counts) + 3 - i) // 4 for i in range(4)]
+    tree = hg.splitting_tree(np.random.default_rng(7), counts, capacity)
+    assert [[sum(r.sid == s and r.shard == i for r in drawn) for s in range(3)] for i in range(4)] == tree
+
+
+def test_op3_takes_what_the_tree_deals(docs, monkeypatch):
+    taken = op3_mixing.mix_documents(docs).agg(F.sum("taken")).first()[0]
+    monkeypatch.setattr(op3_mixing, "splitting_tree", lambda rng, quotas, capacities: [[0] * len(quotas) for _ in capacities])
+    assert taken > 0 and op3_mixing.mix_documents(docs).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_op3_keeps_columns_of_its_own_names(docs):
+    names = ["row", "block", "sid", "turn", "_mix", "_mix_row", "_mix_key", "cut", "at", "h"]
+    out = op3_mixing.mixed_rows(docs.select("*", *[F.lit(x).alias(x) for x in names])).limit(20).collect()
+    assert out and all(r[x] == x for r in out for x in names)
+
+
 def test_op3_empty(empty):
     assert op3_mixing.mix_documents(empty).count() == 0
 
