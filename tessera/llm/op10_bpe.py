@@ -1,12 +1,15 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Documents are split at white space into words and packed in blocks: a block holds its
-   distinct words, dealt into buckets by hash, and each document as indexes of words.
-2. The words of all blocks meet by bucket; each distinct word is encoded once.
-3. The ids go back to their block and are joined to the documents by index and position.
+1. Texts are split at white space into words. Words that are frequent anywhere (a bounded
+   number) form one table, all others that occur, each once, a second.
+2. Each distinct word is encoded once.
+3. Ids are joined back by position: frequent words by a broadcast of their table, whose size
+   is bounded; every other (text, position, word) row by a join on the word, whose ids then
+   come together by text.
 4. Decoding joins each id to its piece and puts the pieces together.
 
-Only packed words and indexes move, never texts. Pre-tokenization and normalization of
+A row for each occurrence of every word would shuffle several times the text; so only those of
+the rarer words are rows, and a text moves as numbers of frequent words. Pre-tokenization and normalization of
 this tokenizer do not look across white space, so words may be encoded on their own.
 """
 
@@ -16,27 +19,25 @@ import hashlib
 import json
 import os
 import re
-import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.plans.staging import stage
 
-#: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 32_000_000
+#: Words in the broadcast table at most; their number decides only what is a row of its own.
+FREQUENT_WORDS = 1 << 18
 #: White space on which texts are split: a part of what the tokenizer drops.
-_SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
-#: Values whose bit lengths are taken at once.
-_STEP = 1 << 18
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
-_PACKED = "block string, bucket int, doc_ids array<bigint>, lengths array<bigint>, data binary"
+#: Rows that are put together at once.
+_SOME = 256
 
 
 def load(definition: str) -> Tokenizer:
@@ -52,212 +53,183 @@ def split_words(text: str) -> list[str]:
     return [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
 
 
-def _bucket(word: str, buckets: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
-
-
 def _squeezed(values: np.ndarray) -> bytes:
     """Values below 2^32 - 1 for a compressor: the bit length of each (plus 1), then the lower bits of each length in byte planes."""
     up = values.astype(np.uint32) + np.uint32(1)
-    bits = np.empty(len(up), dtype=np.uint8)
-    for at in range(0, len(up), _STEP):
-        bits[at : at + _STEP] = np.frexp(up[at : at + _STEP].astype(np.float64))[1] - 1
-    parts = [len(up).to_bytes(8, "little"), bits.tobytes()]
-    for n in range(1, 32):
-        rest = up[bits == n] - np.uint32(1 << n)
-        parts.append(rest.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : -(-n // 8)].T.tobytes())
+    bits = (np.frexp(up.astype(np.float64))[1] - 1).astype(np.uint8)
+    parts = [len(up).to_bytes(4, "little"), bits.tobytes()]
+    for n in np.unique(bits):
+        rest = up[bits == n] - np.uint32(1 << int(n))
+        parts.append(rest.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : -(-int(n) // 8)].T.tobytes())
     return b"".join(parts)
 
 
-def _values(data: bytes) -> np.ndarray:
-    """Inverse of :func:`_squeezed` on compressed data."""
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    size = int.from_bytes(raw[:8], "little")
-    bits = np.frombuffer(raw, dtype=np.uint8, count=size, offset=8)
-    out, at = np.left_shift(np.uint32(1), bits.astype(np.uint32)), 8 + size
-    for n in range(1, 32):
-        where, width = np.flatnonzero(bits == n), -(-n // 8)
-        planes = np.frombuffer(raw, dtype=np.uint8, count=len(where) * width, offset=at).reshape(width, -1)
+def _values(raw: bytes) -> np.ndarray:
+    """Inverse of :func:`_squeezed`."""
+    size = int.from_bytes(raw[:4], "little")
+    bits = np.frombuffer(raw, dtype=np.uint8, count=size, offset=4)
+    out, at = np.left_shift(np.uint32(1), bits.astype(np.uint32)), 4 + size
+    for n in np.unique(bits):
+        where, width = np.flatnonzero(bits == n), -(-int(n) // 8)
+        planes = np.frombuffer(raw, dtype=np.uint8, count=len(where) * width, offset=at).reshape(width, len(where))
         for b in range(width):
             out[where] += planes[b].astype(np.uint32) << np.uint32(8 * b)
         at += len(where) * width
     return out - np.uint32(1)
 
 
-def _round_robin(sizes: np.ndarray) -> np.ndarray:
-    """Positions of items that lie bucket after bucket, in the order first of each bucket, second of each, and so on."""
-    bucket = np.repeat(np.arange(len(sizes)), sizes)
-    nth = np.arange(len(bucket)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.lexsort((bucket, nth))
-
-
-def _packed_rows(texts: DataFrame, buckets: int, block_chars: int) -> DataFrame:
-    """Blocks of ``texts`` (id, text): a row of words for each bucket, and one row (bucket -1) of word indexes."""
+def frequent_words(texts: DataFrame, most: int = FREQUENT_WORDS) -> DataFrame:
+    """``(word, n)``: at most ``most`` words, by how often they stand in batches of which they make up one word in ``most`` (twice, at least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        part, serial = TaskContext.get().partitionId(), 0
-        ids: list = []
-        flat: list[np.ndarray] = []
-        index: dict[str, int] = {}
-        chars = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal serial, chars
-            block = f"{part}-{serial}"
-            words = list(index)
-            home = np.fromiter((_bucket(w, buckets) for w in words), dtype=np.int64, count=len(words))
-            tokens = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-            # Inside a bucket frequent words come first, so that indexes, dealt round the buckets, are small where they are many.
-            rare = -np.frexp(np.bincount(tokens, minlength=len(words)))[1]
-            letters = np.empty(len(words), dtype=np.int64)
-            letters[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
-            order = np.lexsort((letters, rare, home))
-            ends = np.searchsorted(home[order], np.arange(buckets + 1), "left")
-            rows = []
-            for b in range(buckets):
-                if ends[b] < ends[b + 1]:
-                    payload = "\n".join(words[i] for i in order[ends[b] : ends[b + 1]]).encode("utf-8", "surrogatepass")
-                    rows.append((block, b, None, None, pack.compress(payload)))
-            place = np.empty(len(words), dtype=np.uint32)
-            place[order[_round_robin(np.diff(ends))]] = np.arange(len(words), dtype=np.uint32)
-            rows.append((block, -1, list(ids), [len(f) for f in flat], pack.compress(_squeezed(place[tokens]))))
-            serial += 1
-            chars = 0
-            ids.clear(), flat.clear(), index.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], ["block", "bucket", "doc_ids", "lengths", "data"])
-
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
-                if ids and chars + len(text) > block_chars:
-                    yield flush()
-                chars += len(text)
-                ids.append(doc)
-                flat.append(np.fromiter((index.setdefault(w, len(index)) for w in split_words(text)), dtype=np.uint32))
-        if ids:
-            yield flush()
+            count: Counter[str] = Counter()
+            for t in batch.column(0):
+                count.update(split_words(t.as_py() or ""))
+            least = max(2, -(-count.total() // max(most, 1)))
+            often = [(w, n) for w, n in count.items() if n >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
 
-    return texts.mapInArrow(run, _PACKED)
+    counted = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.orderBy(F.col("n").desc(), "word").limit(most)
 
 
-def _encoded_words(words: DataFrame, definition: str) -> DataFrame:
-    """Rows of words as rows of ids: each word is encoded once in the task that holds its bucket."""
+def encoded_words(words: DataFrame, definition: str) -> DataFrame:
+    """``(word, ids)`` of a table of distinct words: each is encoded once, on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        tokenizer, known = load(definition), {}
+        tokenizer = load(definition)
         for batch in batches:
-            out = []
-            for data in batch.column(2):
-                words = unpack.decompress(data.as_py()).decode("utf-8", "surrogatepass").split("\n")
-                fresh = [w for w in words if w not in known]
-                for s in range(0, len(fresh), 4096):
-                    some = fresh[s : s + 4096]
-                    known.update((w, np.array(e.ids, dtype=np.uint32)) for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-                ids = [known[w] for w in words]
-                sizes = np.fromiter(map(len, ids), dtype=np.uint32, count=len(ids))
-                out.append(pack.compress(_squeezed(np.concatenate([np.array([len(ids)], dtype=np.uint32), sizes, *ids]))))
-            none = pa.nulls(len(out), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), none, none, pa.array(out, pa.binary())], ["block", "bucket", "doc_ids", "lengths", "data"])
+            found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(e.ids, dtype="<u4").tobytes() for e in found], pa.binary())], ["word", "ids"])
 
-    return words.select("block", "bucket", "data").repartition("bucket").mapInArrow(run, _PACKED)
+    return words.select("word").mapInArrow(run, "word string, ids binary")
 
 
-def _join_positions(dictionary: DataFrame, documents: DataFrame, schema: str, emit: Callable[[list, list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
-    """Each document's ids in order, through ``emit(doc_ids, ids)``: a block's word ids come first, then its documents."""
+def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str, schema: str, emit: Callable[[list, list[np.ndarray]], pa.RecordBatch], most: int) -> DataFrame:
+    """Each row's ids in order, through ``emit(doc_ids, ids)``."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # Equal texts have equal words, so a text's hash and length may stand for it.
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.char_length(text).alias("size"), text.alias("text"))
+    context = docs.sparkSession.sparkContext
+    # Bounded: at most ``most`` words and their ids.
+    often = stage(encoded_words(frequent_words(texts, most), definition), "bpe-frequent").orderBy("word").collect()
+    numbers = context.broadcast([r["word"] for r in often])
+    held = context.broadcast([bytes(r["ids"]) for r in often])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frozenset(numbers.value)
         for batch in batches:
-            for row in batch.to_pylist():
-                values = _values(row["data"])
-                if row["rank"] >= 0:
-                    n = int(values[0])
-                    sizes.append(values[1 : n + 1])
-                    ids.append(values[n + 1 :])
+            met, keys, sizes, spots, words = set(), [], [], [], []
+            for key, size, t in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
+                if (key, size) in met:
                     continue
-                size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-                all_ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-                turn = _round_robin(np.array([len(x) for x in sizes], dtype=np.int64))
-                start, size = (np.cumsum(size) - size)[turn], size[turn]
-                cut = np.cumsum(row["lengths"])
-                for s in range(0, len(cut), 256):
-                    docs = []
-                    for i in range(s, min(s + 256, len(cut))):
-                        words = values[cut[i] - row["lengths"][i] : cut[i]]
-                        n = size[words]
-                        at = np.repeat(start[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                        docs.append(all_ids[at])
-                    yield emit(row["doc_ids"][s : s + 256], docs)
-                sizes, ids = [], []
-
-    both = dictionary.select("block", F.col("bucket").alias("rank"), "doc_ids", "lengths", "data")
-    both = both.unionByName(documents.select("block", F.lit(-1).alias("rank"), "doc_ids", "lengths", "data"))
-    # Words of low buckets first, the documents last.
-    rows = both.repartition("block").sortWithinPartitions("block", (F.col("rank") < 0).asc(), "rank")
-    return rows.mapInArrow(run, schema)
+                met.add((key, size))
+                for i, w in enumerate(split_words(t.as_py())):
+                    if w not in known:
+                        keys.append(key)
+                        sizes.append(size)
+                        spots.append(i)
+                        words.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(spots, pa.int32()), pa.array(words, pa.string())], ["key", "size", "spot", "word"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {w: i + 1 for i, w in enumerate(numbers.value)}
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            out = []
+            for t in batch.column(3):
+                words = split_words(t.as_py())
+                out.append(pack.compress(_squeezed(np.fromiter((index.get(w, 0) for w in words), dtype=np.uint32, count=len(words)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "key", "size", "words"])
+
+    places = texts.select("key", "size", "text").mapInArrow(rare, "key long, size int, spot int, word string")
+    words = encoded_words(places.select("word").distinct(), definition)
+    # The same text in several batches gives the same places.
+    ids = places.join(words, "word").groupBy("key", "size").agg(F.sort_array(F.collect_set(F.struct("spot", "ids"))).alias("rest"))
+    rows = texts.mapInArrow(numbered, "doc_id long, key long, size int, words binary").join(ids, ["key", "size"], "left").select("doc_id", "words", "rest.ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        lengths = np.array([0, *(len(x) // 4 for x in held.value)], dtype=np.int64)
+        flat = np.frombuffer(b"".join(held.value), dtype="<u4")
+        begin = np.cumsum(lengths) - lengths
+        for batch in batches:
+            for s in range(0, batch.num_rows, _SOME):
+                some = batch.slice(s, _SOME)
+                out = []
+                for packed, rest in zip(some.column(1), some.column(2)):
+                    at = _values(unpack.decompress(packed.as_py()))
+                    rest = rest.as_py() or []
+                    own = np.frombuffer(b"".join(rest), dtype="<u4")
+                    size, start = lengths[at], begin[at]
+                    missing = np.flatnonzero(at == 0)
+                    if len(missing) != len(rest):
+                        raise ValueError(f"{len(missing)} words wanted ids and {len(rest)} came")
+                    more = np.fromiter((len(x) // 4 for x in rest), dtype=np.int64, count=len(rest))
+                    size[missing], start[missing] = more, len(flat) + np.cumsum(more) - more
+                    place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                    ids = np.empty(len(place), dtype=np.uint32)
+                    inner = place < len(flat)
+                    ids[inner], ids[~inner] = flat[place[inner]], own[place[~inner] - len(flat)]
+                    out.append(ids)
+                yield emit(some.column(0).to_pylist(), out)
 
+    return rows.mapInArrow(run, schema)
 
-def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str, schema: str, emit: Callable, block_chars: int) -> DataFrame:
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    packed = stage(_packed_rows(texts, buckets, block_chars), "bpe-blocks")
-    return _join_positions(_encoded_words(packed.where("bucket >= 0"), definition), packed.where("bucket < 0"), schema, emit)
 
+def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT_WORDS) -> DataFrame:
+    """``(doc_id, ids)`` for every row of ``docs``.
 
-def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(doc_id, ids)`` for every row of ``docs``. Null texts are empty and have no ids; repeated rows all stay."""
+    Null texts are empty and have no ids; repeated rows all stay; a text of any length is one row, encoded whole.
+    Columns other than the two are ignored. An empty table gives no rows.
+    """
 
     def emit(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return _through_words(docs, definition, id_col, text_col, "doc_id long, ids array<int>", emit, block_chars)
+    return _through_words(docs, definition, id_col, text_col, "doc_id long, ids array<int>", emit, most)
 
 
 def pieces_table(spark: SparkSession, definition: str) -> DataFrame:
     """``(id, piece)``: the vocabulary and the added tokens; its size is the tokenizer's."""
-    read = json.loads(definition)
-    pieces = read["model"]["vocab"] | {t["content"]: t["id"] for t in read["added_tokens"]}
-    return spark.createDataFrame([(i, p) for p, i in pieces.items()], "id int, piece string")
+    return spark.createDataFrame(sorted(_pieces(definition).items()), "id int, piece string")
 
 
-def _piece_list(pieces: DataFrame) -> list[str | None]:
-    rows = pieces.collect()
-    out: list[str | None] = [None] * (max((r["id"] for r in rows), default=-1) + 1)
-    for r in rows:
-        out[r["id"]] = r["piece"]
-    return out
+def _pieces(definition: str) -> dict[int, str]:
+    read = json.loads(definition)
+    return {i: p for p, i in (read["model"]["vocab"] | {t["content"]: t["id"] for t in read["added_tokens"]}).items()}
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(doc_id, text)``: each id joined to its piece, the pieces of a row put together with blanks, as a
-    tokenizer without decoder does. Unknown ids give nothing; null ids give an empty text. The
-    vocabulary is sent to every task: its size is that of the tokenizer file."""
-    table = _piece_list(pieces)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [" ".join(table[i] for i in ids or [] if 0 <= i < len(table) and table[i] is not None) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+    tokenizer without decoder does. Unknown ids give nothing; null and empty ids give an empty text.
+    Rows that agree in both columns are decoded once and all returned."""
+    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).groupBy("doc_id", "ids").agg(F.count("*").alias("copies"))
+    named = rows.select("doc_id", "ids", "copies", F.posexplode_outer("ids").alias("spot", "id")).join(pieces.select("id", "piece"), "id", "left")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("spot", "piece")))), lambda x: x["piece"]), " ")
+    whole = named.groupBy("doc_id", "ids", "copies").agg(text.alias("text"))
+    return whole.select("doc_id", F.explode(F.array_repeat("text", F.col("copies").cast("int"))).alias("text"))
 
-    return encoded.select(F.col(id_col).cast("long"), ids_col).mapInArrow(run, "doc_id long, text string")
 
+def digests(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT_WORDS) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row: encodes, then decodes those ids.
 
-def digests(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row: encodes, then decodes those ids."""
-    table = np.array([p or "" for p in _piece_list(pieces_table(docs.sparkSession, definition))], dtype=object)
+    Null texts are empty (no tokens, digests of nothing); repeated rows all stay; texts of any length are taken whole;
+    other columns are ignored; an empty table gives no rows. The id-to-piece join is made where the ids are, against the whole
+    vocabulary, whose size is the tokenizer's: as rows, ids would shuffle several times the text (see :func:`decode`).
+    """
+    known = _pieces(definition)
+    pieces = np.array([known.get(i, "") for i in range(max(known, default=-1) + 1)], dtype=object)
 
     def emit(doc_ids: list, ids: list[np.ndarray]) -> pa.RecordBatch:
         columns = [
             pa.array(doc_ids, pa.int64()),
             pa.array([len(i) for i in ids], pa.int64()),
             pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], pa.string()),
-            pa.array([hashlib.sha256(" ".join(table[i].tolist()).encode()).hexdigest() for i in ids], pa.string()),
+            pa.array([hashlib.sha256(" ".join(pieces[i].tolist()).encode()).hexdigest() for i in ids], pa.string()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _through_words(docs, definition, id_col, text_col, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", emit, block_chars)
+    return _through_words(docs, definition, id_col, text_col, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", emit, most)

@@ -523,8 +523,8 @@ def test_op10_matches_the_library(spark, docs, empty, definition):
         ids = library.encode(t or "", add_special_tokens=False).ids
         text = library.decode(ids, skip_special_tokens=False)
         want.append((str(i), len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-    for chars in (op10_bpe.BLOCK_CHARS, 1000):
-        got = [(str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op10_bpe.digests(df, definition, block_chars=chars).collect()]
+    for most in (op10_bpe.FREQUENT_WORDS, 5, 0):
+        got = [(str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op10_bpe.digests(df, definition, most=most).collect()]
         assert sorted(got) == sorted(want)
     assert op10_bpe.digests(empty, definition).count() == 0
 
