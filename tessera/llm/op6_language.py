@@ -3,6 +3,11 @@
 A suffix automaton for each language accepts every substring of its labelled text. A
 document is parsed greedily into longest matches of that text; the language that needs
 the fewest phrases, normalised by the length of its labelled text, wins.
+
+Texts are parsed side by side in pieces. A piece begins as if a phrase began there; where
+the piece before it ends inside a phrase, it is parsed again from that state until both
+parses are in one state, from where on they agree. So the phrases are those of one
+greedy parse of the whole text, however long it is.
 """
 
 from __future__ import annotations
@@ -18,14 +23,18 @@ from pyspark.sql import functions as F
 from tessera.plans.staging import stage
 
 UNDETERMINED = "und"
-#: Bound on the automata of all languages together, sent to every Python worker.
-MODEL_BYTES = 64_000_000
-#: Labelled bytes a language at most, and labelled documents from which they come.
-SAMPLE_BYTES = 64_000
+#: Labelled documents from which a language is learnt at most, and all languages together.
 SAMPLE_DOCS = 64
-#: Phrases end at these many bytes too, so that many pieces are parsed side by side.
+MODEL_DOCS = 1_024
+#: Documents of at most so many characters are learnt from, each whole; a language that has none takes its shortest one.
+LEARN_CHARS = 4_000
+#: Bytes of a piece, rounds of stitching pieces side by side before the rest is parsed one by one, and characters
+#: that are held at once. None of them changes a result.
 _PIECE = 256
+_ROUNDS = 6
 _SLICE_CHARS = 1_000_000
+#: Multiplier of the hash that finds a transition.
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=1)
@@ -40,13 +49,16 @@ def _letters() -> np.ndarray:
     return out
 
 
-def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts with letters lower-cased and each other run a blank; each text's end there; its letters."""
+def normalise(texts: list[str], after_blank: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts with letters lower-cased and each other run a blank; each text's end there; its letters.
+
+    ``after_blank`` tells that what comes before the first text ended with a blank, or that nothing does.
+    """
     points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts])
     mapped = _letters()[points]
     blank = mapped == 32
-    kept = ~(blank & np.r_[True, blank[:-1]])
+    kept = ~(blank & np.r_[after_blank, blank[:-1]])
     width = (1 + (mapped >= 0x80) + (mapped >= 0x800) + (mapped >= 0x10000)) * kept
     data = np.frombuffer(mapped[kept].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), dtype=np.uint8)
     letters = np.add.reduceat((~blank).astype(np.int64), np.r_[0, ends[:-1]])
@@ -83,94 +95,216 @@ def suffix_automaton(data: bytes) -> tuple[list[dict[int, int]], int]:
     return following, len(following)
 
 
-def train(samples: dict[str, list[str]], model_bytes: int = MODEL_BYTES, sample_bytes: int = SAMPLE_BYTES) -> dict:
-    """Automata as dense tables: ``symbols`` maps bytes to columns, column 0 stands for unseen bytes."""
-    texts = {}
+class Automaton:
+    """Transitions of one language's automaton as an open-addressed hash table of 8 bytes a slot; state 0 is the root."""
+
+    def __init__(self, data: bytes) -> None:
+        following, states = suffix_automaton(data)
+        self.length = len(data)
+        size = np.fromiter(map(len, following), dtype=np.int64, count=states)
+        total = int(size.sum())
+        symbol = np.fromiter((b for to in following for b in to), dtype=np.uint64, count=total)
+        target = np.fromiter((t for to in following for t in to.values()), dtype=np.int32, count=total)
+        key = np.repeat(np.arange(states, dtype=np.uint64), size) << np.uint64(8) | symbol
+        self.bits = max(4, int(1.6 * total).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.to = np.full(1 << self.bits, -1, dtype=np.int32)
+        if states >= 1 << 23:
+            raise ValueError(f"{len(data)} bytes are more than an automaton's keys can number")
+        left = np.arange(total)
+        slot = self._slot(key)
+        while len(left):
+            free = self.keys[slot] < 0
+            first = np.unique(np.where(free, slot, -1), return_index=True)
+            won = first[1][first[0] >= 0]
+            self.keys[slot[won]] = key[left[won]].astype(np.int32)
+            self.to[slot[won]] = target[left[won]]
+            lost = np.ones(len(left), dtype=bool)
+            lost[won] = False
+            left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+        self.root = self.step(np.zeros(256, np.int32), np.arange(256, dtype=np.int32))
+        self.unseen = self.root < 0
+        self.begin = np.where(self.unseen, 0, self.root).astype(np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * _MIX >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """States after one more byte; -1 where the match cannot go on."""
+        key = state << 8 | byte
+        slot = self._slot(key.astype(np.uint64))
+        held = self.keys[slot]
+        out = self.to[slot]
+        open_ = np.flatnonzero((held != key) & (held >= 0))
+        out[(held != key)] = -1
+        while len(open_):
+            slot_ = slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot_]
+            hit = held == key[open_]
+            out[open_[hit]] = self.to[slot_[hit]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
+
+    def parse(self, data: np.ndarray, state: int) -> tuple[int, int]:
+        """Phrases that end in ``data``, and the state after it, by one walk."""
+        keys, to, mask, count = self.keys, self.to, (1 << self.bits) - 1, 0
+        unseen, begin, shift, mix = self.unseen.tolist(), self.begin.tolist(), 64 - self.bits, int(_MIX)
+        for byte in data.tolist():
+            key = state << 8 | byte
+            slot = (key * mix & 0xFFFFFFFFFFFFFFFF) >> shift
+            while (held := int(keys[slot])) >= 0 and held != key:
+                slot = slot + 1 & mask
+            if held == key:
+                state = int(to[slot])
+            else:
+                count += (state != 0) + unseen[byte]
+                state = begin[byte]
+        return count, state
+
+
+def train(samples: dict[str, list[str]]) -> dict:
+    """An automaton for each language whose texts hold letters; every text is learnt whole."""
+    out = {}
     for lang in sorted(samples):
         data, _, letters = normalise(samples[lang] or [""])
         if letters.sum():
-            texts[lang] = data
-    symbols = np.zeros(256, dtype=np.uint8)
-    seen = sorted({int(b) for d in texts.values() for b in np.unique(d)})
-    symbols[seen] = np.arange(1, len(seen) + 1)
-    width = len(seen) + 1
-    limit = min(sample_bytes, model_bytes // (8 * width * max(1, len(texts))))
-    tables, sizes = [], []
-    for data in texts.values():
-        following, states = suffix_automaton(bytes(data[:limit]))
-        table = np.full((states, width), -1, dtype=np.int32)
-        for s, to in enumerate(following):
-            for b, t in to.items():
-                table[s, symbols[b]] = t
-        tables.append(table.ravel())
-        sizes.append(min(limit, len(data)))
-    return {"langs": list(texts), "symbols": symbols, "width": width, "tables": tables, "sizes": sizes}
-
-
-def phrases(data: np.ndarray, ends: np.ndarray, model: dict) -> np.ndarray:
-    """Number of cross-parsing phrases of each text (rows) in each language (columns)."""
+            out[lang] = Automaton(bytes(data))
+    return out
+
+
+def phrases(data: np.ndarray, ends: np.ndarray, automaton: Automaton, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, how many phrases end before its last byte's end, and the state there (0 if just no phrase is open).
+
+    ``entry`` holds the states in which the texts begin (0 by default).
+    """
     begins = np.r_[0, ends[:-1]]
-    lengths = ends - begins
-    pieces = -(-lengths // _PIECE)
+    pieces = -(-(ends - begins) // _PIECE)
     owner = np.repeat(np.arange(len(ends)), pieces)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = np.cumsum(pieces) - pieces
+    nth = np.arange(len(owner)) - np.repeat(first, pieces)
     start = begins[owner] + nth * _PIECE
     size = np.minimum(ends[owner] - start, _PIECE)
+    entry = np.zeros(len(ends), np.int32) if entry is None else entry
+    enters = np.zeros(len(owner), np.int32)
+    enters[nth == 0] = entry[owner[nth == 0]]
+    padded = np.r_[data.astype(np.int32), np.zeros(_PIECE, np.int32)]
+    track = np.empty((_PIECE, len(owner)), np.int32)
+    so_far = np.empty((_PIECE, len(owner)), np.int16)
+
+    # Every piece, those that begin a text from its entry and others from the root.
     order = np.argsort(-size, kind="stable")
-    start, size, owner = start[order], size[order], owner[order]
-    column = model["symbols"][data].astype(np.int32)
-    width = model["width"]
-    out = np.zeros((len(ends), len(model["langs"])), dtype=np.int64)
-    active = np.searchsorted(-size, -np.arange(_PIECE), "left")
-    for k, table in enumerate(model["tables"]):
-        unseen = table[:width] < 0
-        root = np.where(unseen, 0, table[:width])
-        state, count = np.zeros(len(start), dtype=np.int32), np.zeros(len(start), dtype=np.int64)
+    active = np.searchsorted(-size[order], -np.arange(_PIECE), "left")
+    state, count = enters[order].copy(), np.zeros(len(owner), np.int16)
+    at = start[order]
+    for j in range(_PIECE):
+        n = int(active[j])
+        if not n:
+            break
+        c = padded[at[:n] + j]
+        to = automaton.step(state[:n], c)
+        stuck = to < 0
+        # A phrase ends where no longer match goes on; a byte that the language lacks is one of its own.
+        count[:n] += (stuck & (state[:n] != 0)).astype(np.int16) + (stuck & automaton.unseen[c])
+        state[:n] = np.where(stuck, automaton.begin[c], to)
+        track[j, :n], so_far[j, :n] = state[:n], count[:n]
+    place = np.empty(len(owner), np.int64)
+    place[order] = np.arange(len(owner))
+    leaves, ended = state[place], count[place].astype(np.int64)
+    whole, out = ended.copy(), leaves.copy()
+
+    # Pieces that are entered inside a phrase, again until their states meet those of the first parse.
+    for _ in range(_ROUNDS):
+        came = np.r_[np.int32(0), leaves[:-1]]
+        came[nth == 0] = enters[nth == 0]
+        redo = np.flatnonzero(came != enters)
+        if not len(redo):
+            break
+        enters[redo] = came[redo]
+        redo = redo[np.argsort(-size[redo], kind="stable")]
+        state, count = came[redo].copy(), np.zeros(len(redo), np.int64)
         for j in range(_PIECE):
-            n = active[j]
-            if not n:
+            over = size[redo] <= j
+            if over.any():
+                leaves[redo[over]], ended[redo[over]] = state[over], count[over]
+                redo, state, count = redo[~over], state[~over], count[~over]
+            if not len(redo):
                 break
-            c = column[start[:n] + j]
-            to = table[state[:n] * width + c]
+            c = padded[start[redo] + j]
+            to = automaton.step(state, c)
             stuck = to < 0
-            # A phrase ends where no longer match goes on; a byte that the language lacks is one of its own.
-            count[:n] += (stuck & (state[:n] != 0)).astype(np.int64) + (stuck & unseen[c])
-            state[:n] = np.where(stuck, root[c], to)
-        count += state != 0
-        out[:, k] = np.bincount(owner, weights=count, minlength=len(ends)).astype(np.int64)
-    return out
+            count += (stuck & (state != 0)).astype(np.int64) + (stuck & automaton.unseen[c])
+            state = np.where(stuck, automaton.begin[c], to)
+            met = state == track[j, place[redo]]
+            if met.any():
+                same = redo[met]
+                leaves[same], ended[same] = out[same], count[met] + whole[same] - so_far[j, place[same]]
+                redo, state, count = redo[~met], state[~met], count[~met]
+        leaves[redo], ended[redo] = state, count
+    came = np.r_[np.int32(0), leaves[:-1]]
+    came[nth == 0] = enters[nth == 0]
+    for i in np.unique(owner[came != enters]):
+        now = int(entry[i])
+        for k in range(first[i], first[i] + pieces[i]):
+            if now != enters[k]:
+                enters[k] = now
+                ended[k], leaves[k] = automaton.parse(data[start[k] : start[k] + size[k]], now)
+            now = int(leaves[k])
+    total = np.bincount(owner, weights=ended, minlength=len(ends)).astype(np.int64)
+    final = entry.copy()
+    full = pieces > 0
+    final[full] = leaves[(first + pieces - 1)[full]]
+    return total, final
 
 
-def judge(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
-    """Language and score of each whole text. Ties go to the first language by code point."""
-    slices, owner = [], []
-    for i, t in enumerate(texts):
-        t = t or ""
-        for s in range(0, max(len(t), 1), _SLICE_CHARS):
-            slices.append(t[s : s + _SLICE_CHARS])
-            owner.append(i)
-    langs = model["langs"]
-    count, letters, length = np.zeros((len(texts), len(langs))), np.zeros(len(texts)), np.zeros(len(texts))
+def counted(texts: list[str], model: dict[str, Automaton]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases (texts by languages), bytes and letters of whole texts. Long texts are read in slices, with the states carried on."""
+    count, letters, length = np.zeros((len(texts), len(model)), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     i = 0
-    while i < len(slices):
+    while i < len(texts):
         j, chars = i, 0
-        while j < len(slices) and (j == i or chars + len(slices[j]) <= _SLICE_CHARS):
-            chars += len(slices[j])
+        while j < len(texts) and chars + len(texts[j]) <= _SLICE_CHARS:
+            chars += len(texts[j])
             j += 1
-        data, ends, found = normalise(slices[i:j])
-        who = np.array(owner[i:j])
-        np.add.at(letters, who, found)
-        np.add.at(length, who, np.diff(np.r_[0, ends]))
-        if langs:
-            np.add.at(count, who, phrases(data, ends, model))
-        i = j
-    if not langs:
+        if j > i:
+            data, ends, letters[i:j] = normalise(texts[i:j])
+            length[i:j] = np.diff(np.r_[0, ends])
+            for k, automaton in enumerate(model.values()):
+                ended, state = phrases(data, ends, automaton)
+                count[i:j, k] = ended + (state != 0)
+            i = j
+            continue
+        states, blank = [np.zeros(1, np.int32) for _ in model], True
+        for s in range(0, len(texts[i]), _SLICE_CHARS):
+            part = texts[i][s : s + _SLICE_CHARS]
+            last = s + _SLICE_CHARS >= len(texts[i])
+            data, ends, found = normalise([part], blank)
+            if not last and len(data) and _letters()[ord(part[-1])] != 32:
+                data, ends = data[:-1], ends - 1  # the blank that ends a text, not a slice
+            blank = _letters()[ord(part[-1])] == 32
+            letters[i] += found[0]
+            length[i] += len(data)
+            for k, automaton in enumerate(model.values()):
+                ended, states[k] = phrases(data, ends, automaton, states[k])
+                count[i, k] += ended[0]
+        count[i] += [int(s[0] != 0) for s in states]
+        i += 1
+    return count, length, letters
+
+
+def judge(texts: list[str | None], model: dict[str, Automaton]) -> tuple[list[str], list[float]]:
+    """Language and score of each whole text. Ties go to the first language by code point; equal texts are parsed once."""
+    if not model:
         return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    bits = count * np.log2(np.maximum(model["sizes"], 2)) / np.maximum(length, 1)[:, None]
+    number: dict[str, int] = {}
+    which = [number.setdefault(t or "", len(number)) for t in texts]
+    count, length, letters = counted(list(number), model)
+    langs, sizes = list(model), np.array([max(a.length, 2) for a in model.values()])
+    bits = count * np.log2(sizes) / np.maximum(length, 1)[:, None]
     best = bits.argmin(axis=1)
     share = np.exp2(bits.min(axis=1)[:, None] - bits)
     score = np.where(letters > 0, 1 / share.sum(axis=1), 0.0)
-    return [langs[b] if n else UNDETERMINED for b, n in zip(best, letters)], score.tolist()
+    named = [langs[b] if n else UNDETERMINED for b, n in zip(best, letters)]
+    return [named[i] for i in which], score[which].tolist()
 
 
 def held_out(doc_id, fold: int = 2, folds: int = 4) -> F.Column:
@@ -178,35 +312,42 @@ def held_out(doc_id, fold: int = 2, folds: int = 4) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, model_bytes: int = MODEL_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Automata from at most ``sample_docs`` distinct texts a language, in hashed order, not held out.
-
-    Of one text at most ``sample_bytes / 16`` characters are learnt, so that no text fills the sample.
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, model_docs: int = MODEL_DOCS, learn_chars: int = LEARN_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Automaton]:
+    """An automaton a language, of at most ``sample_docs`` distinct texts, in hashed order, not held out, each learnt whole.
 
-    Hashes are thinned to about four times the sample by each language's count before they
-    are ranked, so no task ranks a whole language. Null texts and languages are passed over.
+    With many languages each gets its share of ``model_docs``, one at least. Texts of more than ``learn_chars`` characters
+    are not chosen, but for the shortest of a language that has no other. Hashes are thinned to about four times the sample by
+    each language's count before they are ranked, so no task ranks a whole language. Null texts and languages are passed over.
+    An empty table gives no automaton.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    marked = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    text = F.col(text_col).cast("string")
+    marked = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("h"), F.greatest(F.char_length(text), F.lit(learn_chars)).alias("size"))
     marked = stage(marked.distinct(), "text-hashes")
-    share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("n"))
-    thin = marked.join(F.broadcast(marked.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < share * 1_000_000)
+    counts = marked.groupBy("lang", (F.col("size") > learn_chars).alias("long")).agg(F.count("*").alias("n"), F.min(F.struct("size", "h")).alias("least"))
+    counts = counts.groupBy("lang").agg(F.sum(F.when(~F.col("long"), F.col("n"))).alias("n"), F.min("least").alias("least")).cache()
+    langs = counts.count()
+    each = max(1, min(sample_docs, model_docs // max(langs, 1)))
+    share = F.least(F.lit(1.0), F.lit(4.0 * each) / F.col("n"))
+    thin = marked.where(F.col("size") == learn_chars).join(counts.where("n is not null").select("lang", "n"), "lang").where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < share * 1_000_000)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = thin.withColumn("r", rank).where(F.col("r") <= sample_docs).select("lang", "h")
-    texts = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    # At most sample_docs rows a language; copies of a text are folded before they are sent.
-    rows = texts.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_bytes // 16)).alias("text")).collect()
+    chosen = thin.withColumn("r", rank).where(F.col("r") <= each).select("lang", "h")
+    chosen = stage(chosen.unionByName(counts.where("n is null").select("lang", F.col("least.h").alias("h"))), "chosen")
+    counts.unpersist()
+    texts = known.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    # At most model_docs rows, or one a language; copies of a text are folded before they are sent.
+    rows = texts.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
         samples.setdefault(r["lang"], []).append(r["text"])
-    return train(samples, model_bytes, sample_bytes)
+    return train(samples)
 
 
-def identify(docs: DataFrame, model: dict, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, Automaton], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` of ``docs`` (all by default) with ``lang_pred`` and ``score``, by whole texts alone, moving no row.
 
     ``und`` with score 0 if the text is null, empty or has no letters, or if no language was
-    learnt. Every row is judged on its own, repeated or not. Columns of those names are replaced.
+    learnt. Every row is judged on its own, repeated or not, and a text of any length as a whole. Columns of those names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]

@@ -292,14 +292,48 @@ def brute_phrases(text: bytes, learnt: bytes) -> int:
 
 
 def test_op6_phrases_match_brute_force():
-    samples = {"x": ["the thing and the other thing of nothing"], "y": ["der und die nicht schön"]}
+    rng = random.Random(6)
+    words = ["the", "thing", "other", "of", "nothing", "der", "und", "die", "nicht", "schön", "qu", "a"]
+    story = lambda n: " ".join(rng.choice(words) + rng.choice(["", "e", "ing", ".", "日"]) for _ in range(n))
+    samples = {"x": ["the thing and the other thing of nothing"], "y": ["der und die nicht schön"], "z": [story(900), "aaaa"]}
     model = op6_language.train(samples)
-    texts = ["nothing of the thing", "schön und nicht", "zzz the", "", "Ünd Ä日本"]
-    data, ends, _ = op6_language.normalise(texts)
-    got = op6_language.phrases(data, ends, model)
-    learnt = [bytes(op6_language.normalise(samples[k])[0]) for k in model["langs"]]
-    for i, (b, e) in enumerate(zip([0, *ends[:-1]], ends)):
-        assert got[i].tolist() == [brute_phrases(bytes(data[b:e]), x) for x in learnt]
+    texts = ["nothing of the thing", "schön und nicht", "zzz the", "", "Ünd Ä日本", *(story(n) for n in (1, 60, 300, 1000)), samples["z"][0], "a" * 5000, "ab" * 400 + "a" * 300]
+    learnt = [bytes(op6_language.normalise(samples[k])[0]) for k in model]
+    for rounds in (0, 1, 6):
+        op6_language._ROUNDS = rounds
+        count, length, _ = op6_language.counted(texts, model)
+        for i, t in enumerate(texts):
+            data = bytes(op6_language.normalise([t])[0])
+            assert length[i] == len(data) and count[i].tolist() == [brute_phrases(data, x) for x in learnt], (rounds, i)
+    assert count[texts.index(samples["z"][0])][2] == 1  # a text that was learnt is one phrase
+
+
+def test_op6_long_texts_in_slices(monkeypatch):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(["the", "thing", "of,", "nothing", "4", "日本", "schön"]) for _ in range(500_000))
+    assert len(long) > 2_000_000 > op6_language._SLICE_CHARS
+    model = op6_language.train({"x": ["the thing and the other thing of nothing"], "y": ["der und die nicht schön 日本"]})
+    sliced = op6_language.counted([long, "the thing"], model)
+    monkeypatch.setattr(op6_language, "_SLICE_CHARS", 10_000_000)
+    whole = op6_language.counted([long, "the thing"], model)
+    assert all((a == b).all() for a, b in zip(sliced, whole))
+    data = op6_language.normalise([long])[0]
+    for k, a in enumerate(model.values()):
+        ended, state = a.parse(data, 0)
+        assert ended + (state != 0) == whole[0][0][k]
+
+
+def test_op6_many_languages(spark):
+    rng = random.Random(60)
+    alphabets = [rng.sample("abcdefghijklmnopqrstuvwxyzäöüéèñ", 12) for _ in range(60)]
+    rows = [(i, " ".join("".join(rng.choice(alphabets[i % 60]) for _ in range(rng.randrange(2, 8))) for _ in range(120)), f"l{i % 60:02}", None, None) for i in range(1200)]
+    rows.append((5000, "ж" * 9_000, "long-only", None, None))
+    df = spark.createDataFrame(rows, DOCS)
+    model = op6_language.fit(df)
+    assert len(model) == 61 and sum(a.keys.nbytes + a.to.nbytes for a in model.values()) < 200_000_000
+    out = op6_language.predict_documents(df).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in out if r.held_out and r.doc_id < 1200) / sum(r.held_out and r.doc_id < 1200 for r in out) > 0.97
+    assert next(r for r in out if r.doc_id == 5000).lang_pred == "long-only"
 
 
 def test_op6_rows(docs, empty):
