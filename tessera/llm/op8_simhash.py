@@ -5,12 +5,16 @@ Fingerprints that differ in at most ``radius`` bits agree on some choice of
 bits: every link lies inside a shard. Each shard builds a BK-tree (children keyed by
 their integer Hamming distance to the parent) in the task that holds it, and every
 member follows only the edges that the triangle inequality leaves within the radius.
-A shard reports a star for each local component, not all of its pairs.
+A shard reports a star for each local component, not all of its pairs. Trees are built where
+their shard lies and not broadcast, since all trees together are as large as the table.
+A crowded shard is split by the bits that vary most inside it, or, where none tell its members
+apart, dealt into tiles of bounded size that hold every two of its members together once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from tessera.plans.components import connected_components
 from tessera.plans.staging import stage
 
-#: A shard with more members is split again by further bits before a tree is built.
+#: A shard with more members is split again before a tree is built.
 SHARD_ROWS = 8192
+#: Shards that this many parts cover are dealt into tiles at once.
+_FEW_PARTS = 4
 _FRONTIER = 1 << 20
 
 
@@ -147,35 +153,61 @@ def _block_count(distinct: int, radius: int) -> int:
     return 2 * radius + 2
 
 
-def links(classes: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints ``fp`` that connect all within ``radius`` bits of each other.
+def _plan(count: int, ones: list[int], radius: int, shard_rows: int) -> tuple[int, list[int]]:
+    """How a shard of ``count`` fingerprints, ``ones`` of which have each bit set, is split: parts of tiles, or masks (parts 0).
 
-    Rows outside need no link: two fingerprints get one, or a chain of them, if and only
-    if a chain of steps of at most ``radius`` bits joins them. Shards above ``shard_rows``
-    are split by further bits, which loses no link: of ``radius + 1`` blocks of the free
-    bits, two members that link agree on one.
+    The bits that vary are dealt, most even first, to ``radius + 1`` blocks; members within the radius agree on one of
+    them. That is worth it if fewer pairs then meet in all blocks together; else every two of ``parts`` form a tile.
     """
+    parts = -(-2 * count // shard_rows)
+    vary = sorted((b for b in range(64) if 0 < ones[b] < count), key=lambda b: (abs(2 * ones[b] - count), b))
+    if parts > _FEW_PARTS and len(vary) > radius:
+        blocks = [vary[i :: radius + 1] for i in range(radius + 1)]
+        alike = [1 - 2 * (n / count) * (1 - n / count) for n in ones]
+        if sum(float(np.prod([alike[b] for b in block])) for block in blocks) < 0.7:
+            return 0, [_signed(sum(1 << b for b in block)) for block in blocks]
+    return parts, []
+
+
+def shards(classes: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(s, fp)``: fingerprints by shard, so that any two within ``radius`` bits share a shard and none has much more than ``shard_rows`` members."""
     masks = _masks(list(range(64)), radius, _block_count(classes.count(), radius))
     held = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "bits"))
-    held = held.select(F.xxhash64("t", "bits").alias("s"), "t", "bits", F.lit(0).alias("u"), F.lit(0).cast("long").alias("more"), "fp")
-    parts, key = [], ["s", "t", "bits", "u", "more"]
-    for _ in range(3):
-        crowded = held.groupBy(*key).count().where(F.col("count") > shard_rows).drop("count")
+    held = held.select(F.xxhash64("t", "bits").alias("s"), "fp")
+    done: list[DataFrame] = []
+    level = 0
+    while True:
+        crowded = stage(held.groupBy("s").count().where(F.col("count") > shard_rows), "crowded")
         if crowded.isEmpty():
-            break
-        crowded = stage(crowded, "crowded")
-        parts.append(held.join(crowded, key, "left_anti"))
-        free = [[b for b in range(64) if not m >> b & 1] for m in masks]
-        width = max(map(len, free))
-        again = F.element_at(F.array(*[F.array(*[F.lit(_signed(x)) for x in _masks(f, radius, radius + 1)]) for f in free]), F.col("t") + 1)
-        split = held.join(crowded, key, "left_semi").select("s", "t", "bits", "more", "fp", F.posexplode(again).alias("u", "m"))
-        held = split.select(F.xxhash64("s", "u", F.col("fp").bitwiseAND(F.col("m"))).alias("s"), "t", "bits", "u", F.col("fp").bitwiseAND(F.col("m")).alias("more"), "fp")
-        if width <= radius:
-            break
-    parts.append(held)
-    rows = parts[0].select("s", "fp")
-    for part in parts[1:]:
-        rows = rows.unionByName(part.select("s", "fp"))
+            return reduce(DataFrame.unionByName, [*done, held])
+        done.append(held.join(crowded, "s", "left_anti"))
+        level += 1
+        full = stage(held.join(crowded, "s", "left_semi"), "crowded-rows")
+        ones = F.array(*[F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))) for b in range(64)])
+        stats = full.groupBy("s").agg(F.count("*").alias("n"), ones.alias("ones"))
+
+        def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [_plan(n, o, radius, shard_rows) for n, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found], pa.int32()), pa.array([m for _, m in found], pa.list_(pa.int64()))], ["s", "parts", "masks"])
+
+        plan = stage(stats.mapInArrow(planned, "s long, parts int, masks array<long>"), "crowded-plan")
+        split = full.join(plan, "s")
+        # Of two parts' tile, every member is in as many tiles as there are other parts.
+        own = F.pmod(F.xxhash64(F.lit(level), "fp"), F.col("parts")).cast("int")
+        tiled = split.where("parts > 0").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other")
+        done.append(tiled.select(F.xxhash64("s", F.lit(level), F.least("own", "other"), F.greatest("own", "other")).alias("s"), "fp"))
+        again = split.where("parts = 0").select("s", "fp", F.posexplode("masks").alias("u", "mask"))
+        held = again.select(F.xxhash64("s", F.lit(level), "u", F.col("fp").bitwiseAND(F.col("mask"))).alias("s"), "fp")
+
+
+def links(classes: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links ``(a, b)`` between distinct fingerprints ``fp`` that connect all within ``radius`` bits of each other.
+
+    Rows outside need no link: two fingerprints get one, or a chain of them, if and only
+    if a chain of steps of at most ``radius`` bits joins them.
+    """
+    rows = shards(classes, radius, shard_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stars(s: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -204,7 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints are folded into one class before any tree is built, so a group of
     copies costs one member. Null and word-less texts have fingerprint zero and link like
     any other. ``component_id`` is the smallest non-null id reachable; it is null where no
-    row of the component has an id. Repeated rows are all returned. Other columns of
+    row of the component has an id. Repeated rows are all returned. Texts are read whole, however
+    long; a text is held by the task that reads it. Other columns of
     ``docs`` are ignored. An empty table gives no rows.
     """
     seen = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")

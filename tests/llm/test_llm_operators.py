@@ -504,6 +504,32 @@ def test_op8_links_lose_nothing(spark):
         assert {frozenset(g) for g in got.values()} == {g for g in want if len(g) > 1}
 
 
+def test_op8_crowded_shards_stay_bounded(spark):
+    """9,000 fingerprints that differ in 16 bits only, and 3,000 around one: no shard above the limit, few rows, no link lost."""
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    spots = rng.sample(range(64), 16)
+    dense = {base ^ sum(1 << b for i, b in enumerate(spots) if x >> i & 1) for x in rng.sample(range(1 << 16), 9_000)}
+    centre = rng.getrandbits(64)
+    near = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for _ in range(3_000)}
+    signed = lambda p: p - 2**64 if p >> 63 else p
+    df = spark.createDataFrame([(signed(p), i) for i, p in enumerate(sorted(dense | near))], "fp long, low long")
+    for limit in (8192, 512):
+        rows = op8_simhash.shards(df, 4, limit)
+        sizes = [r["count"] for r in rows.groupBy("s").count().collect()]
+        assert max(sizes) <= 1.25 * limit
+        if limit == 8192:
+            assert sum(sizes) < 10 * (len(dense) + len(near)) * 2
+    met = defaultdict(set)
+    for r in rows.distinct().collect():
+        met[r.fp].add(r.s)
+    some = rng.sample(sorted(dense), 60)
+    for p in some:
+        for q in dense:
+            if p != q and (p ^ q).bit_count() <= 4:
+                assert met[signed(p)] & met[signed(q)]
+
+
 def test_op8_empty(empty):
     assert op8_simhash.near_duplicates(empty).count() == 0
 
