@@ -74,30 +74,73 @@ def test_matrix_and_tree_have_exact_margins():
 
 
 def brute_nearest(rows, k):
-    fine = {}
-    for i, v in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):
-            continue
-        fine.setdefault(i, []).append(tuple(map(float, v)))
-    dim = Counter(len(min(v)) for v in fine.values()).most_common(1)[0][0]
-    one = {i: np.array(min(v)) for i, v in fine.items() if len(min(v)) == dim}
-    return {i: sorted(((float((x * one[i]).sum()), j) for j, x in one.items() if j != i), key=lambda t: (-t[0], t[1]))[:k] for i in one if i % 20 == 0}
-
-
-def test_op1_against_brute_force(spark):
+    """Lists ``(score, id)`` of every query row, by its id."""
+    fine = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    dim = Counter(len(v) for _, v in fine).most_common(1)[0][0]
+    fine = [(i, v) for i, v in fine if len(v) == dim]
+    out = defaultdict(list)
+    for n, (i, v) in enumerate(fine):
+        if i % 20 == 0:
+            out[i].append(sorted(((float((x * v).sum()), j) for m, (j, x) in enumerate(fine) if m != n), key=lambda t: (-t[0], t[1]))[:k])
+    return out
+
+
+@pytest.mark.parametrize("cell_rows", [op1_ann.CELL_ROWS, 60])
+def test_op1_against_brute_force(spark, cell_rows):
     rng = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(400)]
-    rows += [(i, rows[3][1]) for i in range(400, 430)] + [(500, None), (501, [0.0] * 16), (502, [1.0, None] + [0.0] * 14), (503, [float("nan")] * 16), (520, [1.0, 2.0]), (None, [1.0] * 16), rows[20]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit(1)).withColumn("code", F.lit("x"))
-    out = op1_ann.nearest(df, df.where("vec_id % 20 = 0"), k=20, epsilon=4.0, block_rows=150, block_queries=8).collect()
+    rows = [(i, [float(x) for x in rng.normal(size=70)]) for i in range(600)]
+    rows += [(i, rows[3][1]) for i in range(600, 630)] + [(700, None), (701, [0.0] * 70), (702, [1.0, None] + [0.0] * 68), (703, [float("nan")] * 70), (720, [1.0, 2.0]), (None, [1.0] * 70), rows[20], (40, rows[41][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit(1)).withColumn("code", F.lit("x")).withColumn("asked", F.lit(True))
+    out = op1_ann.nearest(df, F.col("vec_id") % 20 == 0, cell_rows=cell_rows, slice_rows=(150, 150), block_queries=8).collect()
     got = defaultdict(list)
-    for r in sorted(out, key=lambda r: (r.query_id, r["rank"])):
-        got[r.query_id].append((r.score, r.vec_id))
+    for r in out:
+        got[r.query_id].append((r["rank"], r.score, r.vec_id))
     want = brute_nearest(rows, 20)
-    assert set(got) == set(want)
-    hits = sum(len({j for _, j in got[q]} & {j for _, j in want[q]}) for q in want) / sum(map(len, want.values()))
-    assert hits >= 0.99 and all(len(got[q]) == len(want[q]) for q in want)
-    assert all(abs(a - b) < 1e-12 for q in want for (a, _), (b, _) in zip(got[q], want[q]) if hits == 1)
+    assert set(got) == set(want) and all(sorted(x[0] for x in got[q]) == sorted(list(range(1, 21)) * len(want[q])) for q in want)
+    hits = sum(len(set(x[1:] for x in got[q]) & {t for lists in want[q] for t in lists}) for q in want) / sum(len({t for lists in want[q] for t in lists}) for q in want)
+    assert hits >= 0.99
+    outside = op1_ann.nearest(df, queries=spark.createDataFrame([(1, rows[5][1])], "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in outside][0] == (1, 5) and len(outside) == 20
+
+
+def test_op1_estimates_keep_their_bounds():
+    rng = np.random.default_rng(7)
+    x, q = rng.normal(size=(3000, 96)), rng.normal(size=(40, 96))
+    turn, centre = op1_ann.rotation(96), x.mean(axis=0)
+    codes, radius, align = op1_ann.encode(x, centre, turn)
+    near, bound = op1_ann.estimate(q, centre, turn, codes, radius, align, op1_ann.EPSILON)
+    miss = np.abs(near - q @ x.T)
+    # One bit a coordinate leaves sqrt(pi / 2 - 1) = 0.755 of the spread of random vectors' products.
+    assert (miss <= bound).mean() > 0.98 and 0.70 < miss.mean() / np.abs(q @ x.T).mean() < 0.80
+
+
+def test_op1_reranks_a_smaller_share_of_more_rows(spark):
+    """At the shipped settings, over random unit vectors, which have no neighbourhoods: recall, and what it costs."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    share = []
+    for n in (2_000, 12_000):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "vec_id long, embedding array<double>")
+        out = op1_ann.nearest(df, F.col("vec_id") % 200 == 0).collect()
+        hits = 0
+        for i in range(0, n, 200):
+            score = x[:n] @ x[i]
+            score[i] = -9
+            hits += len({r.vec_id for r in out if r.query_id == i} & set(np.argsort(-score)[:20].tolist()))
+        assert hits / (20 * n / 200) >= 0.99
+        share.append(np.mean([r.reranked for r in out]) / n)
+    assert share[1] < 0.6 * share[0]
+
+
+def test_op1_leaves_cells_out(spark):
+    """Far clusters cannot reach the floor, and are not looked into."""
+    rng = np.random.default_rng(12)
+    spots = 10 * rng.normal(size=(8, 32))
+    x = np.concatenate([s + 0.2 * rng.normal(size=(500, 32)) for s in spots])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = op1_ann.nearest(df, F.col("vec_id") % 100 == 0, cell_rows=500).collect()
+    assert np.mean([r.reranked for r in out]) < 600 + 160 and len(out) == 40 * 20
 
 
 def test_op1_empty(spark):
