@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from tessera.plans.staging import stage
 
 RATIO = 0.1
-MIN_PAGES = 5
-
-#: Fixed patterns that turn HTML into lines; understood alike by Java and RE2.
-HTML_HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-HTML_BREAK = r"(?i)</?(p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|title|head|body|nav|footer|header|article|section|aside|html)( [^>]*)?/?>"
-HTML_TAG = r"<[^>]*>"
+#: A line that one page alone holds is no boilerplate, however few pages its host has.
+MIN_PAGES = 2
+
+#: Patterns that turn HTML into lines, understood alike by Java and RE2. What is not closed reaches to the
+#: end, and a tag ends where the next one begins, so that no page is read more than a few times.
+HTML_HIDDEN = r"(?is)<script[^<>]*>.*?(?:</script>|\z)|<style[^<>]*>.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
+HTML_BREAK = r"(?i)</?(p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|title|head|body|nav|footer|header|article|section|aside|html)( [^<>]*)?/?>"
+HTML_TAG = r"<[^<>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
@@ -43,8 +45,8 @@ def _mark(line: Column) -> Column:
 
 def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``(host, marks)``: each host's boilerplate lines by hash. At most (lines a page) / ``ratio`` a host."""
-    lines = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), _bare), lambda x: x != "")
-    marks = pages.select(F.col(host_col).alias("host"), F.array_distinct(F.transform(lines, _mark)).alias("marks"))
+    lines = F.filter(F.transform(F.split(F.col(f"`{text_col}`"), "\n", -1), _bare), lambda x: x != "")
+    marks = pages.select(F.col(f"`{host_col}`").alias("host"), F.array_distinct(F.transform(lines, _mark)).alias("marks"))
     # A row without a mark counts the page.
     each = marks.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("marks", F.array()))).alias("mark"))
     counted = each.groupBy("host", "mark").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("mark").isNull())
@@ -56,32 +58,36 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = R
 
 
 def drop_boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with boilerplate lines taken out of ``text_col`` and ``_dropped_lines`` (how many).
+    """``pages`` with boilerplate lines taken out of ``text_col`` and ``_dropped_lines`` (how many; a column of that name is replaced).
 
     Lines are split at ``\\n`` and compared without blanks at their ends; blank lines are
     never dropped. A page counts a line once. Null hosts form one host; null texts count as
     pages and stay null; a page that loses every line keeps an empty text. Repeated rows
-    count as pages of their own. All rows and columns stay. Pages are joined with their
+    count as pages of their own. All rows and columns stay, whatever the columns' names; a page of any
+    length is read whole. Pages are joined with their
     host's list: by a broadcast if what was written is below the session's threshold, so that
-    no text moves, else by a sort-merge join that AQE splits where a host is hot. Names ``_host``,
-    ``_marks`` and ``_dropped_lines`` are taken. An empty table gives no rows.
+    no text moves, else by a sort-merge join that AQE splits where a host is hot. An empty table gives no rows.
     """
     # Written first, so that its size is known when the join is planned.
-    known = stage(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate").select(F.coalesce("host", F.lit("")).alias("_host"), F.col("host").isNull().alias("_none"), F.col("marks").alias("_marks"))
-    named = pages.withColumn("_host", F.coalesce(F.col(host_col), F.lit(""))).withColumn("_none", F.col(host_col).isNull())
-    joined = named.join(known, ["_host", "_none"], "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    here = F.array_intersect(F.transform(lines, lambda x: _mark(_bare(x))), F.col("_marks"))
-    found = joined.withColumn("_marks", here)
-    kept = F.filter(lines, lambda x: ~F.array_contains("_marks", _mark(_bare(x))) | (_bare(x) == ""))
-    hit = F.coalesce(F.size("_marks"), F.lit(0)) > 0
-    found = found.withColumn("_kept", F.when(hit, kept))
-    out = found.withColumn("_dropped_lines", F.when(hit, F.size(lines) - F.size("_kept")).otherwise(0)).withColumn(text_col, F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col(text_col)))
-    return out.select(*pages.columns, "_dropped_lines")
+    found = stage(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate").select(F.coalesce("host", F.lit("")).alias("at"), F.col("host").isNull().alias("none"), "marks")
+    text, host = F.col(f"`{text_col}`"), F.col(f"`{host_col}`")
+    whole = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page")
+    joined = pages.select(whole, F.coalesce(host, F.lit("")).alias("at"), host.isNull().alias("none"), text.alias("text")).join(found, ["at", "none"], "left")
+    lines = F.split("text", "\n", -1)
+    here = joined.withColumn("marks", F.array_intersect(F.transform(lines, lambda x: _mark(_bare(x))), "marks"))
+    hit = F.coalesce(F.size("marks"), F.lit(0)) > 0
+    kept = F.filter(lines, lambda x: ~F.array_contains("marks", _mark(_bare(x))) | (_bare(x) == ""))
+    out = here.withColumn("kept", F.when(hit, kept))
+    shown = F.when(hit, F.array_join("kept", "\n")).otherwise(F.col("text"))
+    columns = [(shown if c == text_col else F.col("page").getField(c)).alias(c) for c in pages.columns if c != "_dropped_lines"]
+    return out.select(*columns, F.when(hit, F.size(lines) - F.size("kept")).otherwise(0).alias("_dropped_lines"))
 
 
 def dedup_pages(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``(page_id, host, text, dropped_lines)`` for every row of ``pages`` (page_id, url, html)."""
+    """``(page_id, host, text, dropped_lines)`` for every row of ``pages`` (page_id, url, html).
+
+    A null URL has a null host, one that is not absolute the empty one; a null page keeps a null text.
+    """
     lined = pages.select("page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
     return drop_boilerplate(lined, "host", "text", ratio, min_pages).withColumnRenamed("_dropped_lines", "dropped_lines")
 

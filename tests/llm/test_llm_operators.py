@@ -173,6 +173,21 @@ def test_op2_against_brute_force(spark):
     assert got == sorted(want) and any(w[3] for w in want)
 
 
+def test_op2_keeps_columns_of_any_name(spark):
+    names = ["_host", "_none", "_marks", "_kept", "page", "at", "none", "kept", "marks", "a.b", "text2"]
+    df = spark.createDataFrame([(i, "h", f"own {i}\nnav") for i in range(4)], "page_id long, site string, text string").select("*", *[F.lit(x.upper()).alias(x) for x in names])
+    out = op2_line_dedup.drop_boilerplate(df, "site", "text").collect()
+    assert all(r[x] == x.upper() for r in out for x in names) and sorted(r.text for r in out) == [f"own {i}" for i in range(4)]
+
+
+def test_op2_small_hosts_and_hostile_pages(spark):
+    pages = [(1, "http://a.b/1", "<p>one</p><p>nav</p>"), (2, "http://a.b/2", "<p>two</p><p>nav</p>"), (3, "http://c.d/", "<p>only</p>"), (4, "http://a.b/3", "<p>x</p><!-- never closed <p>nav</p>")]
+    pages += [(5, None, "<" * 200_000 + "end"), (6, "no url", "<script>" * 20_000), (7, "http://e.f/", None), (8, "http://a.b/4", "<p>y</p>" + "long " * 200_000)]
+    out = {r.page_id: r for r in op2_line_dedup.dedup_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out[1].text.split() == ["one"] and out[2].text.split() == ["two"] and out[3].text.split() == ["only"] and out[4].text.split() == ["x"]
+    assert out[7].text is None and len(out[8].text.split()) == 200_001 and out[5].host is None and out[6].host == ""
+
+
 def test_op2_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert op2_line_dedup.dedup_pages(none).count() == 0
