@@ -1,11 +1,11 @@
 """BPE encoding and decoding through a table of distinct words.
 
 1. Texts are split at white space into words. Words that are frequent anywhere (a bounded
-   number) form one table, all others that occur, each once, a second.
-2. Each distinct word is encoded once.
+   number) form one table of distinct words; every other occurrence is a row (text, position, word).
+2. Each distinct word is encoded once: the frequent ones in their table, the others where an
+   exchange by word has brought all rows of a word together, sorted.
 3. Ids are joined back by position: frequent words by a broadcast of their table, whose size
-   is bounded; every other (text, position, word) row by a join on the word, whose ids then
-   come together by text.
+   is bounded, the others by a join on the text.
 4. Decoding joins each id to its piece and puts the pieces together.
 
 A row for each occurrence of every word would shuffle several times the text; so only those of
@@ -21,9 +21,11 @@ import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +34,16 @@ from tokenizers import Tokenizer
 from tessera.plans.staging import stage
 
 #: Words in the broadcast table at most; their number decides only what is a row of its own.
-FREQUENT_WORDS = 1 << 18
+FREQUENT_WORDS = 1 << 20
 #: White space on which texts are split: a part of what the tokenizer drops.
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 #: Rows that are put together at once.
 _SOME = 256
+_PLACES = "key long, size int, spot int, word string"
 
 
+@lru_cache(maxsize=1)
 def load(definition: str) -> Tokenizer:
     """Tokenizer of a definition without truncation or padding."""
     tokenizer = Tokenizer.from_str(definition)
@@ -54,28 +58,14 @@ def split_words(text: str) -> list[str]:
 
 
 def _squeezed(values: np.ndarray) -> bytes:
-    """Values below 2^32 - 1 for a compressor: the bit length of each (plus 1), then the lower bits of each length in byte planes."""
-    up = values.astype(np.uint32) + np.uint32(1)
-    bits = (np.frexp(up.astype(np.float64))[1] - 1).astype(np.uint8)
-    parts = [len(up).to_bytes(4, "little"), bits.tobytes()]
-    for n in np.unique(bits):
-        rest = up[bits == n] - np.uint32(1 << int(n))
-        parts.append(rest.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : -(-int(n) // 8)].T.tobytes())
-    return b"".join(parts)
+    """Values below 2^24 as byte planes, lowest first, which compress well where most values are small."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
 
 
 def _values(raw: bytes) -> np.ndarray:
     """Inverse of :func:`_squeezed`."""
-    size = int.from_bytes(raw[:4], "little")
-    bits = np.frombuffer(raw, dtype=np.uint8, count=size, offset=4)
-    out, at = np.left_shift(np.uint32(1), bits.astype(np.uint32)), 4 + size
-    for n in np.unique(bits):
-        where, width = np.flatnonzero(bits == n), -(-int(n) // 8)
-        planes = np.frombuffer(raw, dtype=np.uint8, count=len(where) * width, offset=at).reshape(width, len(where))
-        for b in range(width):
-            out[where] += planes[b].astype(np.uint32) << np.uint32(8 * b)
-        at += len(where) * width
-    return out - np.uint32(1)
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(3, -1).astype(np.uint32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
 def frequent_words(texts: DataFrame, most: int = FREQUENT_WORDS) -> DataFrame:
@@ -94,17 +84,44 @@ def frequent_words(texts: DataFrame, most: int = FREQUENT_WORDS) -> DataFrame:
     return counted.orderBy(F.col("n").desc(), "word").limit(most)
 
 
-def encoded_words(words: DataFrame, definition: str) -> DataFrame:
-    """``(word, ids)`` of a table of distinct words: each is encoded once, on its own."""
+def _encode(words: list[str], definition: str, kind: str) -> pa.Array:
+    """Ids of each word, encoded on its own, as bytes of numbers of ``kind``."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return pa.array([np.array(e.ids, dtype=kind).tobytes() for e in load(definition).encode_batch_fast(words, add_special_tokens=False)], pa.binary())
+
+
+def encoded_words(words: DataFrame, definition: str, kind: str) -> DataFrame:
+    """``(word, n, ids)`` of a table of distinct words ``(word, n)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _encode(batch.column(0).to_pylist(), definition, kind)], ["word", "n", "ids"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
+
+
+def encoded_places(places: DataFrame, definition: str, kind: str) -> DataFrame:
+    """``(key, size, spot, ids)`` for each row of ``places`` (key, size, spot, word).
+
+    The rows are dealt and sorted by word, so that the distinct words, each followed by its places, are
+    read in turn: a word is encoded once and joined to all its places, without a second exchange.
+    No list of places is ever held; a word may have any number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = load(definition)
+        last, last_ids = None, b""
         for batch in batches:
-            found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(e.ids, dtype="<u4").tobytes() for e in found], pa.binary())], ["word", "ids"])
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(3))
+            words = runs.values.to_pylist()
+            fresh = words[1:] if words[0] == last else words
+            ids = ([last_ids] if words[0] == last else []) + _encode(fresh, definition, kind).to_pylist()
+            last, last_ids = words[-1], ids[-1]
+            which = np.repeat(np.arange(len(words)), np.diff(np.r_[0, runs.run_ends.to_numpy()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()).take(pa.array(which))], ["key", "size", "spot", "ids"])
 
-    return words.select("word").mapInArrow(run, "word string, ids binary")
+    return places.repartition("word").sortWithinPartitions("word").mapInArrow(run, "key long, size int, spot int, ids binary")
 
 
 def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str, schema: str, emit: Callable[[list, list[np.ndarray]], pa.RecordBatch], most: int) -> DataFrame:
@@ -112,30 +129,37 @@ def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str,
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Equal texts have equal words, so a text's hash and length may stand for it.
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.char_length(text).alias("size"), text.alias("text"))
-    context = docs.sparkSession.sparkContext
-    # Bounded: at most ``most`` words and their ids.
-    often = stage(encoded_words(frequent_words(texts, most), definition), "bpe-frequent").orderBy("word").collect()
-    numbers = context.broadcast([r["word"] for r in often])
-    held = context.broadcast([bytes(r["ids"]) for r in often])
+    spark = docs.sparkSession
+    kind = "<u2" if max(_pieces(definition), default=0) < 1 << 16 else "<u4"
+    often = stage(encoded_words(stage(frequent_words(texts, most), "bpe-frequent"), definition, kind), "bpe-frequent-ids")
+    # Bounded: at most ``most`` words and their ids, the most frequent with the least numbers.
+    held = often.toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns("n")
+    sent = spark.sparkContext.broadcast(["\n".join(held["word"].to_pylist()), b"".join(held["ids"].to_pylist()), np.array([0, *map(len, held["ids"].to_pylist())]) // int(kind[2:])])
+    del held
+
+    def frequent() -> dict[str, int]:
+        return {w: i + 1 for i, w in enumerate(sent.value[0].split("\n") if sent.value[0] else [])}
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frozenset(numbers.value)
-        for batch in batches:
-            met, keys, sizes, spots, words = set(), [], [], [], []
-            for key, size, t in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
-                if (key, size) in met:
-                    continue
-                met.add((key, size))
-                for i, w in enumerate(split_words(t.as_py())):
-                    if w not in known:
-                        keys.append(key)
-                        sizes.append(size)
-                        spots.append(i)
-                        words.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(spots, pa.int32()), pa.array(words, pa.string())], ["key", "size", "spot", "word"])
+        known = frequent()
+        for whole in batches:
+            met = set()
+            for s in range(0, whole.num_rows, _SOME):
+                batch = whole.slice(s, _SOME)
+                keys, sizes, spots, words = [], [], [], []
+                for key, size, t in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (key, size) in met:
+                        continue
+                    met.add((key, size))
+                    found = [(i, w) for i, w in enumerate(split_words(t)) if w not in known]
+                    keys += [key] * len(found)
+                    sizes += [size] * len(found)
+                    spots += [i for i, _ in found]
+                    words += [w for _, w in found]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(spots, pa.int32()), pa.array(words, pa.string())], ["key", "size", "spot", "word"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {w: i + 1 for i, w in enumerate(numbers.value)}
+        index = frequent()
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             out = []
@@ -144,16 +168,15 @@ def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str,
                 out.append(pack.compress(_squeezed(np.fromiter((index.get(w, 0) for w in words), dtype=np.uint32, count=len(words)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "key", "size", "words"])
 
-    places = texts.select("key", "size", "text").mapInArrow(rare, "key long, size int, spot int, word string")
-    words = encoded_words(places.select("word").distinct(), definition)
+    places = texts.select("key", "size", "text").mapInArrow(rare, _PLACES)
     # The same text in several batches gives the same places.
-    ids = places.join(words, "word").groupBy("key", "size").agg(F.sort_array(F.collect_set(F.struct("spot", "ids"))).alias("rest"))
+    ids = encoded_places(places, definition, kind).groupBy("key", "size").agg(F.sort_array(F.collect_set(F.struct("spot", "ids"))).alias("rest"))
     rows = texts.mapInArrow(numbered, "doc_id long, key long, size int, words binary").join(ids, ["key", "size"], "left").select("doc_id", "words", "rest.ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        lengths = np.array([0, *(len(x) // 4 for x in held.value)], dtype=np.int64)
-        flat = np.frombuffer(b"".join(held.value), dtype="<u4")
+        lengths = np.array(sent.value[2], dtype=np.int64)
+        flat = np.frombuffer(sent.value[1], dtype=kind)
         begin = np.cumsum(lengths) - lengths
         for batch in batches:
             for s in range(0, batch.num_rows, _SOME):
@@ -162,12 +185,12 @@ def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str,
                 for packed, rest in zip(some.column(1), some.column(2)):
                     at = _values(unpack.decompress(packed.as_py()))
                     rest = rest.as_py() or []
-                    own = np.frombuffer(b"".join(rest), dtype="<u4")
+                    own = np.frombuffer(b"".join(rest), dtype=kind)
                     size, start = lengths[at], begin[at]
                     missing = np.flatnonzero(at == 0)
                     if len(missing) != len(rest):
                         raise ValueError(f"{len(missing)} words wanted ids and {len(rest)} came")
-                    more = np.fromiter((len(x) // 4 for x in rest), dtype=np.int64, count=len(rest))
+                    more = np.fromiter(map(len, rest), dtype=np.int64, count=len(rest)) // own.itemsize
                     size[missing], start[missing] = more, len(flat) + np.cumsum(more) - more
                     place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                     ids = np.empty(len(place), dtype=np.uint32)
