@@ -1,4 +1,4 @@
-"""Recommendation and item-set queries: users are customers, items are parts, sets are orders."""
+"""Recommendation and item-set queries: users are customers and items parts; sets are orders and their items suppliers."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from tessera.plans.staging import stage
 
 def _visits(s: SparkSession, d: str) -> DataFrame:
     orders = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("user"))
-    lines = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 200).alias("item"))
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("item"))
     return lines.join(orders, "o_orderkey").select("user", "item", "o_orderkey")
 
 
@@ -30,11 +30,11 @@ def _batch(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sets(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("set_id"), (F.col("l_suppkey") % 20).alias("item"))
+    return s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("set_id"), F.col("l_suppkey").alias("item"))
 
 
 def _support(s: SparkSession, d: str) -> int:
-    return max(2, _sets(s, d).select("set_id").distinct().count() // 100)
+    return max(3, _sets(s, d).select("set_id").distinct().count() // 20_000)
 
 
 def _text(df: DataFrame) -> DataFrame:
@@ -66,12 +66,12 @@ QUERIES = {
     "item_neighbours": lambda s, d: _near(s, d).select("item_i", "item_j", F.round("sim", 6).alias("sim"), "rank"),
     "item_recommend": _recommend,
     "item_recommend_weighted": _recommend_weighted,
-    "frequent_itemsets": lambda s, d: _text(itemsets.frequent_itemsets(_sets(s, d), _support(s, d), 3)),
-    "fp_growth": lambda s, d: _text(itemsets.fp_growth(_sets(s, d), _support(s, d)).where("size(items) <= 3")),
+    "frequent_itemsets": lambda s, d: _text(itemsets.frequent_itemsets(_sets(s, d), _support(s, d))),
+    "fp_growth": lambda s, d: _text(itemsets.fp_growth(_sets(s, d), _support(s, d))),
     "maximal_sets": lambda s, d: itemsets.maximal_sets(_sets(s, d)),
 }
 
-_V = "visits as (select o_custkey as \"user\", l_partkey % 200 as item, o_orderkey from lineitem join orders on l_orderkey = o_orderkey), once as (select distinct \"user\", item from visits)"
+_V = "visits as (select o_custkey as \"user\", l_partkey as item, o_orderkey from lineitem join orders on l_orderkey = o_orderkey), once as (select distinct \"user\", item from visits)"
 _C = f"{_V}, counts as (select a.item as item_i, b.item as item_j, count(*) as freq from once a join once b using (\"user\") group by all)"
 _S = f"{_C}, own as (select item_i as item, freq from counts where item_i = item_j), sims as (select c.item_i, c.item_j, c.freq / sqrt(x.freq::double * y.freq) as sim from counts c join own x on x.item = c.item_i join own y on y.item = c.item_j where c.item_i <> c.item_j)"
 _N = f"{_S}, near as (select * from (select *, row_number() over (partition by item_i order by sim desc, item_j)::int as rank from sims) where rank <= 30)"
@@ -87,11 +87,11 @@ ranked as (select *, row_number() over (partition by "user" order by round(weigh
 select "user", item, round(weight, 6) as weight, n_reasons, rank from ranked where rank <= 10"""
 
 
-_T = "rows as (select distinct l_orderkey as set_id, l_suppkey % 20 as item from lineitem), least_n as (select greatest(2, count(distinct set_id) // 100) as m from rows)"
-_F = f"""with {_T}, one as (select item::varchar as items, count(*) as support from rows group by item),
-two as (select a.item || ',' || b.item as items, count(*) as support from rows a join rows b on a.set_id = b.set_id and a.item < b.item group by 1),
-three as (select a.item || ',' || b.item || ',' || c.item as items, count(*) as support from rows a join rows b on a.set_id = b.set_id and a.item < b.item join rows c on c.set_id = b.set_id and b.item < c.item group by 1)
-select items, support from (select * from one union all select * from two union all select * from three), least_n where support >= m"""
+_T = "rows as (select distinct l_orderkey as set_id, l_suppkey as item from lineitem), least_n as (select greatest(3, count(distinct set_id) // 20000) as m from rows)"
+_F = f"""with recursive {_T}, grown as (select set_id, item as last, item::varchar as items, 1 as n from rows
+union all select g.set_id, r.item, g.items || ',' || r.item, n + 1 from grown g join rows r on r.set_id = g.set_id and r.item > g.last)
+select items, count(*) as support from grown where n <= {{most}} group by items having count(*) >= (select m from least_n)"""
+
 
 ORACLE = {
     "covisit_counts": f"with {_C} select * from counts",
@@ -104,8 +104,9 @@ select item_i, item_j, count(*) as freq from (select a.item as item_i, b.item as
     "item_neighbours": f"with {_N} select item_i, item_j, round(sim, 6) as sim, rank from near",
     "item_recommend": _rec("1.0::double"),
     "item_recommend_weighted": _rec("case when item % 7 = 0 then -0.5 else 1.0 end::double"),
-    "frequent_itemsets": _F,
-    "fp_growth": _F,
-    "maximal_sets": """with rows as (select distinct l_orderkey as set_id, l_suppkey % 20 as item from lineitem), sized as (select set_id, sum(1::bigint << item)::bigint as bits from rows group by 1), kinds as (select distinct bits from sized),
-inside as (select distinct a.bits from kinds a join kinds b on a.bits <> b.bits and a.bits & b.bits = a.bits) select set_id from sized where bits not in (select bits from inside)""",
+    "frequent_itemsets": _F.format(most=4),
+    "fp_growth": _F.format(most=1000),
+    "maximal_sets": """with rows as (select distinct l_orderkey as set_id, l_suppkey as item from lineitem), sized as (select set_id, count(*) as n, string_agg(item::varchar, ',' order by item) as items from rows group by 1), kinds as (select items, min(set_id) as kind, any_value(n) as n from sized group by 1),
+krows as (select k.kind, k.n, r.item from kinds k join rows r on r.set_id = k.kind), shared as (select a.kind, a.n, b.kind as other, count(*) as n_shared from krows a join krows b on a.item = b.item and b.n > a.n group by all),
+inside as (select distinct items from kinds join shared using (kind) where n_shared = shared.n) select set_id from sized where items not in (select items from inside)""",
 }

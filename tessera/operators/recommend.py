@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.staging import stage
+
 NEIGHBOURS = 30
 
 
@@ -84,14 +86,16 @@ def recommend(near: DataFrame, history: DataFrame, k: int = 10, weighted: bool =
     weight); its score is the similarity of those of its own neighbours that were visited
     over that of all its neighbours. Scores above 0 are ranked, ties by item.
     """
-    visited = history.groupBy("user", "item").agg((F.sum("weight") if weighted else F.lit(1.0)).alias("w"))
-    liked = visited.where("w > 0")
-    pool = liked.join(near, liked["item"] == near["item_i"]).select("user", F.col("item_j").alias("item")).distinct()
-    pool = pool.join(visited, ["user", "item"], "left_anti")
-    total = near.groupBy("item_i").agg(F.sum("sim").alias("total"))
-    of = pool.join(near, pool["item"] == near["item_i"]).select("user", "item", "item_j", "sim")
-    seen = of.join(visited.select("user", F.col("item").alias("item_j"), "w"), ["user", "item_j"])
-    scored = seen.groupBy("user", "item").agg(F.sum(F.col("sim") * F.col("w")).alias("s"), F.sort_array(F.collect_list("item_j")).alias("reasons"))
-    scored = scored.join(total, scored["item"] == total["item_i"]).select("user", "item", (F.col("s") / F.col("total")).alias("weight"), "reasons")
+    visited = stage(history.groupBy("user", "item").agg((F.sum("weight") if weighted else F.lit(1.0)).alias("w")), "visited")
+    # What each visit adds to the items it is a neighbour of, which items it brings in, and the visit itself, in one sum.
+    added = visited.join(near, visited["item"] == near["item_j"]).select("user", F.col("item_i").alias("item"), (F.col("sim") * F.col("w")).alias("s"), F.lit(0).alias("brought"), F.lit(0).alias("seen"))
+    brought = visited.where("w > 0").join(near, visited["item"] == near["item_i"]).select("user", F.col("item_j").alias("item"), F.lit(None).cast("double").alias("s"), F.lit(1).alias("brought"), F.lit(0).alias("seen"))
+    own = visited.select("user", "item", F.lit(None).cast("double").alias("s"), F.lit(0).alias("brought"), F.lit(1).alias("seen"))
+    summed = added.unionByName(brought).unionByName(own).groupBy("user", "item").agg(F.sum("s").alias("s"), F.max("brought").alias("brought"), F.max("seen").alias("seen"))
+    total = near.groupBy(F.col("item_i").alias("item")).agg(F.sum("sim").alias("total"))
+    scored = summed.where("brought = 1 and seen = 0 and s > 0").join(total, "item").select("user", "item", (F.col("s") / F.col("total")).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("user").orderBy(F.round("weight", 9).desc(), "item"))
-    return scored.where("weight > 0").withColumn("rank", rank).where(F.col("rank") <= k)
+    best = stage(scored.where("weight > 0").withColumn("rank", rank).where(F.col("rank") <= k), "best")
+    why = best.join(near, best["item"] == near["item_i"]).select("user", "item", "item_j")
+    why = why.join(visited.select("user", F.col("item").alias("item_j")), ["user", "item_j"]).groupBy("user", "item").agg(F.sort_array(F.collect_list("item_j")).alias("reasons"))
+    return best.join(why, ["user", "item"]).select("user", "item", "weight", "reasons", "rank")
