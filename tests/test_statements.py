@@ -4,10 +4,10 @@ import numpy as np
 import pytest
 
 from tests.conftest import DATA
-from tessera.catalog import dedup, keyphrase, learning, lsh, recommend, relational, series, similarity, wiki
+from tessera.catalog import analysis, dedup, keyphrase, learning, lsh, recommend, relational, series, similarity, wiki
 from tessera.catalog import queries as query_log
 
-FAMILIES = (dedup, recommend, similarity, series, keyphrase, lsh, learning, query_log, wiki, relational)
+FAMILIES = (dedup, recommend, similarity, series, keyphrase, lsh, learning, query_log, wiki, relational, analysis)
 SF = DATA / "sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Results of several hundred thousand rows even here; the catalogue compares them at sf0.01.
