@@ -33,8 +33,6 @@ LEARN_CHARS = 4_000
 _PIECE = 256
 _ROUNDS = 6
 _SLICE_CHARS = 1_000_000
-#: Multiplier of the hash that finds a transition.
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(maxsize=1)
@@ -96,66 +94,71 @@ def suffix_automaton(data: bytes) -> tuple[list[dict[int, int]], int]:
 
 
 class Automaton:
-    """Transitions of one language's automaton as an open-addressed hash table of 8 bytes a slot; state 0 is the root."""
+    """Transitions of one language's automaton, laid over one another in one array of 8 bytes a slot.
+
+    A state is the place where its row of 256 slots begins, each state another; rows overlap where they do not
+    collide. A slot holds the state it belongs to above and the one it leads to below; the root is 0.
+    """
 
     def __init__(self, data: bytes) -> None:
         following, states = suffix_automaton(data)
         self.length = len(data)
-        size = np.fromiter(map(len, following), dtype=np.int64, count=states)
-        total = int(size.sum())
-        symbol = np.fromiter((b for to in following for b in to), dtype=np.uint64, count=total)
-        target = np.fromiter((t for to in following for t in to.values()), dtype=np.int32, count=total)
-        key = np.repeat(np.arange(states, dtype=np.uint64), size) << np.uint64(8) | symbol
-        self.bits = max(4, int(1.6 * total).bit_length())
-        self.keys = np.full(1 << self.bits, -1, dtype=np.int32)
-        self.to = np.full(1 << self.bits, -1, dtype=np.int32)
-        if states >= 1 << 23:
-            raise ValueError(f"{len(data)} bytes are more than an automaton's keys can number")
-        left = np.arange(total)
-        slot = self._slot(key)
-        while len(left):
-            free = self.keys[slot] < 0
-            first = np.unique(np.where(free, slot, -1), return_index=True)
-            won = first[1][first[0] >= 0]
-            self.keys[slot[won]] = key[left[won]].astype(np.int32)
-            self.to[slot[won]] = target[left[won]]
-            lost = np.ones(len(left), dtype=bool)
-            lost[won] = False
-            left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
-        self.root = self.step(np.zeros(256, np.int32), np.arange(256, dtype=np.int32))
+        room = 2 * sum(map(len, following)) + 1024
+        free, place, used, cursor = bytearray(b"\x01") * room, [0] * states, {0}, 0
+        for b in following[0]:
+            free[b] = 0
+        rows = sorted(range(1, states), key=lambda i: -len(following[i]))
+        degree = 0
+        for i in rows:
+            symbols = sorted(following[i])
+            if not symbols:
+                continue
+            if len(symbols) != degree:
+                degree, cursor = len(symbols), 0
+            low, rest, at, tries = symbols[0], symbols[1:], cursor, 0
+            while True:
+                at = free.find(1, at)
+                if at < 0:
+                    at = len(free)
+                    free += b"\x01" * room
+                base = at - low
+                if base > 0 and base not in used and all(free[base + b] for b in rest):
+                    break
+                at += 1
+                tries += 1
+            # Places that many rows did not fit into are not tried again by rows of this size.
+            cursor = at if tries > 32 else cursor
+            used.add(base)
+            place[i] = base
+            for b in symbols:
+                free[base + b] = 0
+            if base + 256 > len(free):
+                free += b"\x01" * room
+        size = len(free) + 512
+        for i in rows:
+            if not following[i]:
+                size += 256
+                place[i] = size - 256
+        self.slots = np.full(size, -1, dtype=np.int64)
+        for i, to in enumerate(following):
+            for b, t in to.items():
+                self.slots[place[i] + b] = place[i] << 32 | place[t]
+        self.root = self.step(np.zeros(256, np.int64), np.arange(256, dtype=np.int64))
         self.unseen = self.root < 0
-        self.begin = np.where(self.unseen, 0, self.root).astype(np.int32)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key * _MIX >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.begin = np.where(self.unseen, 0, self.root)
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """States after one more byte; -1 where the match cannot go on."""
-        key = state << 8 | byte
-        slot = self._slot(key.astype(np.uint64))
-        held = self.keys[slot]
-        out = self.to[slot]
-        open_ = np.flatnonzero((held != key) & (held >= 0))
-        out[(held != key)] = -1
-        while len(open_):
-            slot_ = slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
-            held = self.keys[slot_]
-            hit = held == key[open_]
-            out[open_[hit]] = self.to[slot_[hit]]
-            open_ = open_[~hit & (held >= 0)]
-        return out
+        held = self.slots[state + byte]
+        return np.where(held >> 32 == state, held & 0xFFFFFFFF, -1)
 
     def parse(self, data: np.ndarray, state: int) -> tuple[int, int]:
         """Phrases that end in ``data``, and the state after it, by one walk."""
-        keys, to, mask, count = self.keys, self.to, (1 << self.bits) - 1, 0
-        unseen, begin, shift, mix = self.unseen.tolist(), self.begin.tolist(), 64 - self.bits, int(_MIX)
+        slots, count, unseen, begin = self.slots, 0, self.unseen.tolist(), self.begin.tolist()
         for byte in data.tolist():
-            key = state << 8 | byte
-            slot = (key * mix & 0xFFFFFFFFFFFFFFFF) >> shift
-            while (held := int(keys[slot])) >= 0 and held != key:
-                slot = slot + 1 & mask
-            if held == key:
-                state = int(to[slot])
+            held = int(slots[state + byte])
+            if held >> 32 == state:
+                state = held & 0xFFFFFFFF
             else:
                 count += (state != 0) + unseen[byte]
                 state = begin[byte]
@@ -184,10 +187,10 @@ def phrases(data: np.ndarray, ends: np.ndarray, automaton: Automaton, entry: np.
     nth = np.arange(len(owner)) - np.repeat(first, pieces)
     start = begins[owner] + nth * _PIECE
     size = np.minimum(ends[owner] - start, _PIECE)
-    entry = np.zeros(len(ends), np.int32) if entry is None else entry
-    enters = np.zeros(len(owner), np.int32)
+    entry = np.zeros(len(ends), np.int64) if entry is None else entry
+    enters = np.zeros(len(owner), np.int64)
     enters[nth == 0] = entry[owner[nth == 0]]
-    padded = np.r_[data.astype(np.int32), np.zeros(_PIECE, np.int32)]
+    padded = np.r_[data.astype(np.int64), np.zeros(_PIECE, np.int64)]
     track = np.empty((_PIECE, len(owner)), np.int32)
     so_far = np.empty((_PIECE, len(owner)), np.int16)
 
@@ -214,7 +217,7 @@ def phrases(data: np.ndarray, ends: np.ndarray, automaton: Automaton, entry: np.
 
     # Pieces that are entered inside a phrase, again until their states meet those of the first parse.
     for _ in range(_ROUNDS):
-        came = np.r_[np.int32(0), leaves[:-1]]
+        came = np.r_[np.int64(0), leaves[:-1]]
         came[nth == 0] = enters[nth == 0]
         redo = np.flatnonzero(came != enters)
         if not len(redo):
@@ -240,7 +243,7 @@ def phrases(data: np.ndarray, ends: np.ndarray, automaton: Automaton, entry: np.
                 leaves[same], ended[same] = out[same], count[met] + whole[same] - so_far[j, place[same]]
                 redo, state, count = redo[~met], state[~met], count[~met]
         leaves[redo], ended[redo] = state, count
-    came = np.r_[np.int32(0), leaves[:-1]]
+    came = np.r_[np.int64(0), leaves[:-1]]
     came[nth == 0] = enters[nth == 0]
     for i in np.unique(owner[came != enters]):
         now = int(entry[i])
@@ -273,7 +276,7 @@ def counted(texts: list[str], model: dict[str, Automaton]) -> tuple[np.ndarray,
                 count[i:j, k] = ended + (state != 0)
             i = j
             continue
-        states, blank = [np.zeros(1, np.int32) for _ in model], True
+        states, blank = [np.zeros(1, np.int64) for _ in model], True
         for s in range(0, len(texts[i]), _SLICE_CHARS):
             part = texts[i][s : s + _SLICE_CHARS]
             last = s + _SLICE_CHARS >= len(texts[i])

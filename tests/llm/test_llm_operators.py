@@ -388,7 +388,7 @@ def test_op6_many_languages(spark):
     rows.append((5000, "ж" * 9_000, "long-only", None, None))
     df = spark.createDataFrame(rows, DOCS)
     model = op6_language.fit(df)
-    assert len(model) == 61 and sum(a.keys.nbytes + a.to.nbytes for a in model.values()) < 200_000_000
+    assert len(model) == 61 and sum(a.slots.nbytes for a in model.values()) < 200_000_000
     out = op6_language.predict_documents(df).collect()
     assert sum(r.lang_pred == rows[r.doc_id][2] for r in out if r.held_out and r.doc_id < 1200) / sum(r.held_out and r.doc_id < 1200 for r in out) > 0.97
     assert next(r for r in out if r.doc_id == 5000).lang_pred == "long-only"
