@@ -12,8 +12,8 @@ from tessera.plans.staging import stage
 
 def _impressions(s: SparkSession, d: str) -> DataFrame:
     e = s.read.parquet(f"{d}/events.parquet")
-    features = F.array(F.concat(F.lit("user="), F.col("user_id") % 20), F.concat(F.lit("hour="), F.hour("ts")), F.concat(F.lit("big="), F.col("value") > 50))
-    return e.select(F.concat(F.lit("m"), F.col("user_id") % 4).alias("model"), F.col("event_id").alias("seq"), F.col("event_id").alias("row_id"), features.alias("features"), (F.col("event_type") == "click").alias("clicked"))
+    features = F.array(F.concat(F.lit("user="), F.col("user_id")), F.concat(F.lit("hour="), F.hour("ts")), F.concat(F.lit("big="), F.col("value") > 50))
+    return e.select(F.date_format("ts", "E").alias("model"), F.col("event_id").alias("seq"), F.col("event_id").alias("row_id"), features.alias("features"), (F.col("event_type") == "click").alias("clicked"))
 
 
 def _click_rates(s: SparkSession, d: str) -> DataFrame:
@@ -29,10 +29,11 @@ def _ratings(s: SparkSession, d: str) -> DataFrame:
 
 
 def _fm_fixed(s: SparkSession, d: str) -> DataFrame:
-    line = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), (F.col("l_suppkey") % 10).alias("a"), (F.col("l_partkey") % 10 + 10).alias("b"))
-    rows = line.select("row_id", F.explode(F.array("a", "b")).alias("feature"), F.lit(1.0).alias("value"))
-    weights = s.range(20).select(F.col("id").alias("feature"), (F.col("id") / 100).alias("w"), F.array((F.col("id") / 20), F.lit(0.5) - F.col("id") / 40).alias("v"))
-    return ml.fm_predict(rows, 0.5, weights, 2, 0.0, 1.0).select("row_id", F.round("y", 6).alias("y"))
+    """A given model on suppliers (odd features) and parts (even ones)."""
+    line = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.explode(F.array(F.col("l_suppkey") * 2 + 1, F.col("l_partkey") * 2)).alias("feature"))
+    f = F.col("feature")
+    weights = line.select("feature").distinct().select("feature", (f % 97 / 100).alias("w"), F.array(f % 89 / 100, F.lit(0.5) - f % 83 / 200).alias("v"))
+    return ml.fm_predict(line.withColumn("value", F.lit(1.0)), 0.5, weights, 2, 0.0, 2.5).select("row_id", F.round("y", 6).alias("y"))
 
 
 def _labelled(s: SparkSession, d: str) -> DataFrame:
@@ -79,8 +80,8 @@ def _als(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rmse(s: SparkSession, d: str) -> DataFrame:
-    r = _ratings(s, d).withColumn("y", F.lit(2.5))
-    return ml.rmse(r).select(F.round("rmse", 6).alias("rmse"))
+    truth = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), (F.col("l_quantity") / 20).alias("label"))
+    return ml.rmse(truth.join(_fm_fixed(s, d), "row_id")).select(F.round("rmse", 5).alias("rmse"))
 
 
 def _lda(s: SparkSession, d: str) -> DataFrame:
@@ -124,7 +125,7 @@ QUERIES = {
     "paragraph_vectors": _paragraphs,
 }
 
-_IMP = """imp as (select 'm' || (user_id % 4) as model, event_id as row_id, unnest(['user=' || (user_id % 20), 'hour=' || hour(ts), 'big=' || (value > 50)]) as feature, (event_type = 'click')::int as y from events),
+_IMP = """imp as (select strftime(ts, '%a') as model, event_id as row_id, unnest(['user=' || user_id, 'hour=' || hour(ts), 'big=' || (value > 50)]) as feature, (event_type = 'click')::int as y from events),
 weights as (select model, feature, avg(y) - 0.25::double as w, avg(y) * 40 as mean, 400.0::double / count(*) as variance from imp group by all)"""
 _FRESH = "(400::double * variance / ((1 - 0.08::double) * 400 + 0.08::double * variance))"
 _LAB = """lab as (select doc_id as row_id, list_sort([case when n_chars > 2000 then 'long' else 'short' end, case when regexp_matches(text, '[#*$%&]{2}') then 'marks' else 'plain' end, 'lang=' || coalesce(lang, '?')]) as f, quality::varchar as outcome from documents join labels using (doc_id))"""
@@ -135,13 +136,13 @@ e{_i} as (select v.f, v.o, v.n, x.outcome, exp(coalesce(s.s, 0)) as e from (sele
 p{_i} as (select *, e / sum(e) over (partition by f, o) as p from e{_i}),
 m{_i} as (select a.feature, p.outcome, sum(a.n * p.p) as model from active a join p{_i} p on p.f = a.f and p.o = a.o group by all),
 t{_i} as (select t.feature, t.outcome, t.theta + ln(o.seen / m.model) / 3 as theta from t{_i - 1} t join observed o using (feature, outcome) join m{_i} m using (feature, outcome))"""
+_FM = """x as (select l_orderkey * 10 + l_linenumber as row_id, unnest([l_suppkey * 2 + 1, l_partkey * 2]) as f from lineitem), y as (select row_id, f % 97 / 100 as w, f % 89 / 100 as a, 0.5::double - f % 83 / 200 as b from x),
+z as (select row_id, sum(w) as lin, sum(a) as a, sum(a * a) as a2, sum(b) as b, sum(b * b) as b2 from y group by row_id), fm as (select row_id, least(greatest(0.5::double + lin + (a * a - a2) / 2 + (b * b - b2) / 2, 0), 2.5::double) as y from z)"""
 ORACLE = {
     "ctr_ad_forget": f"with {_IMP} select model, feature, round({_FRESH} * ((1 - 0.08::double) * mean / variance + 0.08::double * 0 / 400), 6) as mean, round({_FRESH}, 6) as variance from weights",
     "ctr_linear_predict": f"with {_IMP} select row_id, round(1 / (1 + exp(-sum(w))), 6) as p from imp join weights using (model, feature) group by row_id",
-    "fm_predict": """with x as (select l_orderkey * 10 + l_linenumber as row_id, unnest([l_suppkey % 10, l_partkey % 10 + 10]) as f from lineitem),
-s as (select row_id, sum(f / 100) as lin, sum(f / 20) as a, sum((f / 20) * (f / 20)) as a2, sum(0.5::double - f / 40) as b, sum((0.5::double - f / 40) * (0.5::double - f / 40)) as b2 from x group by row_id)
-select row_id, round(least(greatest(0.5::double + lin + (a * a - a2) / 2 + (b * b - b2) / 2, 0), 1), 6) as y from s""",
-    "fm_rmse": "select round(sqrt(avg((2.5::double - l_quantity / 10) * (2.5::double - l_quantity / 10))), 6) as rmse from lineitem",
+    "fm_predict": f"with {_FM} select row_id, round(y, 6) as y from fm",
+    "fm_rmse": f"with {_FM} select round(sqrt(avg((y - l_quantity / 20) * (y - l_quantity / 20))), 5) as rmse from fm join lineitem on row_id = l_orderkey * 10 + l_linenumber",
     "maxent_events": f"with {_LAB} select array_to_string(f, ',') as features, outcome, count(*) as n from lab group by all having count(*) >= 2",
     "maxent_train": f"with {_GIS} select feature, outcome, round(theta, 6) as theta from t5",
     "maxent_predict": f"with {_GIS}, z as (select l.row_id, t.outcome, sum(t.theta) as s from (select row_id, unnest(f) as feature from lab) l join t5 t using (feature) group by all), q as (select l.row_id, x.outcome, exp(coalesce(z.s, 0)) as e from lab l cross join outs x left join z on z.row_id = l.row_id and z.outcome = x.outcome) select row_id, outcome, round(e / sum(e) over (partition by row_id), 6) as p from q",

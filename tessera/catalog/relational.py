@@ -66,7 +66,7 @@ def _rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 def _islands(s: SparkSession, d: str) -> DataFrame:
-    days = _t(s, d, "events").select((F.col("user_id") % 50).alias("user"), F.to_date("ts").alias("day")).distinct()
+    days = _t(s, d, "events").select(F.col("user_id").alias("user"), F.to_date("ts").alias("day")).distinct()
     return rel.islands(days, "user", "day").withColumn("start", F.col("start").cast("string"))
 
 
@@ -145,7 +145,7 @@ ORACLE = {
     "containment_join": "with r as (select distinct l_orderkey as id, l_suppkey as item from lineitem), s as (select id, count(*) as size from r where id % 50 = 0 group by 1) select a.id as small_id, b.id as large_id from r a join r b on a.item = b.item join s on s.id = a.id group by a.id, b.id, s.size having count(*) = s.size",
     "top_per_key": "select * from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int as rank from orders) where rank <= 3",
     "prefix_rollup": f"with p as (select {tokens_sql('text')} as t from benchmark) select array_to_string(t[1:k], ' ') as prefix, count(*) as n from (select t, unnest(range(1, len(t) + 1)) as k from p) group by 1",
-    "day_islands": f"with x as (select distinct user_id % 50 as \"user\", {_DAY} as day from events) select \"user\", min(day)::varchar as start, count(*)::int as days from (select *, day - row_number() over (partition by \"user\" order by day)::int as g from x) group by \"user\", g",
+    "day_islands": f"with x as (select distinct user_id as \"user\", {_DAY} as day from events) select \"user\", min(day)::varchar as start, count(*)::int as days from (select *, day - row_number() over (partition by \"user\" order by day)::int as g from x) group by \"user\", g",
     "union_distinct": "select p_brand as name from part union select r_name from region",
     "value_statistics": "select event_type, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as deviation, min(value) as low, max(value) as high from events group by 1",
     "text_functions": f"""with {_HEADS} select doc_id, array_to_string({tokens_sql('title')}, '|') as tokens, {hash32_sql('title')} as hash, levenshtein(lower(regexp_replace(title, '[^ -~]', '?', 'g')), lower(source))::int as distance, len(list_filter(string_split(title, '.'), lambda x: x <> ''))::int as parts,

@@ -17,7 +17,7 @@ def _types(s: SparkSession, d: str) -> DataFrame:
 
 
 def _users(s: SparkSession, d: str) -> DataFrame:
-    events = s.read.parquet(f"{d}/events.parquet").withColumn("user", F.col("user_id") % 40)
+    events = s.read.parquet(f"{d}/events.parquet").withColumn("user", F.col("user_id"))
     return series.daily_counts(events, "user", "ts", _START, _END)
 
 
@@ -63,7 +63,7 @@ QUERIES = {name: _dated(query) for name, query in QUERIES.items()}
 
 _TYPES = f"""counted as (select event_type as key, ts::date as day, count(*) as value from events where ts::date between '{_START}' and '{_END}' group by all),
 series as (select k.key, s.day::date as day, coalesce(c.value, 0)::double as value from (select distinct key from counted) k cross join (select unnest(generate_series('{_START}'::timestamp, '{_END}'::timestamp, interval 1 day)) as day) s left join counted c on c.key = k.key and c.day = s.day::date)"""
-_USERS = _TYPES.replace("event_type as key", "user_id % 40 as key")
+_USERS = _TYPES.replace("event_type as key", "user_id as key")
 
 
 def _filter_sql(coefficients: list[float], gap: int) -> str:
