@@ -77,7 +77,19 @@ def _aligned(s: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(F.transform("pairs", lambda x: F.concat_ws(":", x["left"], x["right"])), "|").alias("pairs"))
 
 
+def _titled(s: SparkSession, d: str) -> DataFrame:
+    """Phrases of benchmark items; an item's first eight terms are its title."""
+    n = _items(s, d).count()
+    tf = keyphrase.ngrams(_items(s, d), 3).where("n_terms >= 2").groupBy("doc_id", "phrase").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("phrase").agg(F.count("*").alias("df")).where("df >= 2")
+    candidates = tf.join(df, "phrase").select("doc_id", "phrase", (F.col("tf") * F.log(F.lit(n) / F.col("df"))).alias("tf_idf"))
+    words = stage(analysis.positions(_items(s, d)), "words")
+    out = keyphrase.titled_keyphrases(candidates, words.where("pos < 8"), words.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), n)
+    return out.select("doc_id", "phrase", F.round("score", 3).alias("score"), "rank")
+
+
 QUERIES = {
+    "titled_keyphrases": _titled,
     "typed_terms": lambda s, d: analysis.analyse(_items(s, d)),
     "analysed_terms": lambda s, d: analysis.analyse(_items(s, d), s.createDataFrame([(w,) for w in STOP_WORDS], "term string"), 3, ("latin", "mixed"), stems=True, merge_numbers=True),
     "stemmed_terms": lambda s, d: analysis.stemmed(analysis.positions(_t(s, d, "documents"), "doc_id").select("term").distinct()),
@@ -116,7 +128,19 @@ spans as (select *, unnest(range(1, least(3, len(t) - i + 1) + 1)) as n from sta
 grams as (select * from (select doc_id, n, array_to_string(t[i:i + n - 1], ' ') as phrase, t[i] as first, t[i + n - 1] as last, array_to_string(t[i:i + n - 2], ' ') as prefix from spans) where not regexp_matches(phrase, '(^| )\\p{{N}}+( |$)'))"""
 _BOTH = "both_ as (select a as id, b as other, sim from pairs union all select b, a, sim from pairs) select id, other, round(sim, 6) as sim, rank from (select *, row_number() over (partition by id order by round(sim, 9) desc, other desc)::int as rank from both_)"
 _ENTRIES = ", ".join(f"({hash32_sql(f'''concat_ws('#', context::varchar, '{i}')''')}) % 500" for i in range(10))
+_ROUND = """r{i} as (select pair_id, source, target, p / sum(p) over (partition by pair_id, source) as c from pairs join t{j} using (source, target)),
+t{i} as (select source, target, c / sum(c) over (partition by target) as p from (select source, target, sum(c) as c from r{i} group by all))"""
 ORACLE = {
+    "titled_keyphrases": f"""with {_GRAMS}, nd as (select count(*) as n from benchmark), tf as (select doc_id, phrase, count(*) as tf from grams where n >= 2 group by all), df as (select phrase, count(*) as df from tf group by 1 having count(*) >= 2),
+cand as (select doc_id, phrase, tf * ln((select n from nd) / df) as w, row_number() over (partition by doc_id order by round(tf * ln((select n from nd) / df), 9) desc, phrase) as place from tf join df using (phrase)),
+words as {_positions('benchmark', 'item_id')}, ttl as (select * from words where pos < 8), size as (select doc_id, least(a.n, b.n) as size from (select doc_id, count(*) as n from cand group by 1) a join (select doc_id, count(*) as n from ttl group by 1) b using (doc_id)),
+pairs as (select c.doc_id as pair_id, c.phrase as source, t.term as target from cand c join size s using (doc_id) join ttl t on t.doc_id = c.doc_id where c.place <= s.size and t.pos < s.size),
+t0 as (select distinct source, target, 1.0::double / (select count(distinct source) from pairs) as p from pairs), {", ".join(_ROUND.format(i=i, j=i - 1) for i in range(1, 21))},
+tt as (select doc_id, term, count(*) as tf from words group by 1, 2), td as (select term, count(*) as df from tt group by 1), tw as (select doc_id, term, tf * ln((select n from nd) / df) as w from tt join td using (term)),
+sc as (select c.doc_id, c.phrase, round(sum(tw.w * t.p) * length(c.phrase) * length(c.phrase), 6) as score from cand c join t20 t on t.source = c.phrase join tw on tw.doc_id = c.doc_id and tw.term = t.target group by 1, 2),
+met as (select a.doc_id, a.phrase as long, b.phrase as short, a.score > b.score as wins from sc a join sc b on a.doc_id = b.doc_id and length(a.phrase) = length(b.phrase) + 1 and (starts_with(a.phrase, b.phrase) or ends_with(a.phrase, b.phrase))),
+gone as (select doc_id, case when wins then short else long end as phrase from met), kept as (select * from sc where (doc_id, phrase) not in (select (doc_id, phrase) from gone) and score >= 4)
+select doc_id, phrase, round(score, 3) as score, rank from (select *, row_number() over (partition by doc_id order by score desc, phrase)::int as rank from kept) where rank <= 15""",
     "typed_terms": f"select doc_id, pos::int as pos, term, {_KIND} as kind from {_positions('benchmark', 'item_id')}",
     "analysed_terms": f"""with p as (select doc_id, pos, term, {_KIND} as kind from {_positions('benchmark', 'item_id')}), m as (select doc_id, pos, case when kind = 'latin' and lead(kind) over w = 'number' then concat(term, lead(term) over w) else term end as term, coalesce(kind = 'number' and lag(kind) over w = 'latin', false) as gone from p window w as (partition by doc_id order by pos)),
 k as (select doc_id, pos, term, {_KIND} as kind from m where not gone) select doc_id, pos::int as pos, stem as term, kind from {_stem('k')} where stem not in ({_STOP}) and length(stem) >= 3 and kind in ('latin', 'mixed')""",

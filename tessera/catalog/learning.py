@@ -44,7 +44,7 @@ def _labelled(s: SparkSession, d: str) -> DataFrame:
 
 
 def _maxent(s: SparkSession, d: str) -> DataFrame:
-    return ml.maxent_train(ml.maxent_events(_labelled(s, d)), 5)
+    return ml.maxent_train(ml.maxent_events(_labelled(s, d)))
 
 
 def _maxent_predict(s: SparkSession, d: str) -> DataFrame:
@@ -130,7 +130,7 @@ weights as (select model, feature, avg(y) - 0.25::double as w, avg(y) * 40 as me
 _FRESH = "(400::double * variance / ((1 - 0.08::double) * 400 + 0.08::double * variance))"
 _LAB = """lab as (select doc_id as row_id, list_sort([case when n_chars > 2000 then 'long' else 'short' end, case when regexp_matches(text, '[#*$%&]{2}') then 'marks' else 'plain' end, 'lang=' || coalesce(lang, '?')]) as f, quality::varchar as outcome from documents join labels using (doc_id))"""
 _GIS = f"""{_LAB}, ev as (select f, outcome, count(*) as n from lab group by all), active as (select f, outcome as o, n, unnest(f) as feature from ev), observed as (select feature, o as outcome, sum(n) as seen from active group by all), outs as (select distinct outcome from ev), t0 as (select feature, outcome, 0.0::double as theta from observed)"""
-for _i in range(1, 6):
+for _i in range(1, 16):
     _GIS += f""", s{_i} as (select a.f, a.o, a.n, t.outcome, sum(theta) as s from active a join t{_i - 1} t using (feature) group by all),
 e{_i} as (select v.f, v.o, v.n, x.outcome, exp(coalesce(s.s, 0)) as e from (select f, outcome as o, n from ev) v cross join outs x left join s{_i} s on s.f = v.f and s.o = v.o and s.outcome = x.outcome),
 p{_i} as (select *, e / sum(e) over (partition by f, o) as p from e{_i}),
@@ -144,6 +144,6 @@ ORACLE = {
     "fm_predict": f"with {_FM} select row_id, round(y, 6) as y from fm",
     "fm_rmse": f"with {_FM} select round(sqrt(avg((y - l_quantity / 20) * (y - l_quantity / 20))), 5) as rmse from fm join lineitem on row_id = l_orderkey * 10 + l_linenumber",
     "maxent_events": f"with {_LAB} select array_to_string(f, ',') as features, outcome, count(*) as n from lab group by all having count(*) >= 2",
-    "maxent_train": f"with {_GIS} select feature, outcome, round(theta, 6) as theta from t5",
-    "maxent_predict": f"with {_GIS}, z as (select l.row_id, t.outcome, sum(t.theta) as s from (select row_id, unnest(f) as feature from lab) l join t5 t using (feature) group by all), q as (select l.row_id, x.outcome, exp(coalesce(z.s, 0)) as e from lab l cross join outs x left join z on z.row_id = l.row_id and z.outcome = x.outcome) select row_id, outcome, round(e / sum(e) over (partition by row_id), 6) as p from q",
+    "maxent_train": f"with {_GIS} select feature, outcome, round(theta, 6) as theta from t15",
+    "maxent_predict": f"with {_GIS}, z as (select l.row_id, t.outcome, sum(t.theta) as s from (select row_id, unnest(f) as feature from lab) l join t15 t using (feature) group by all), q as (select l.row_id, x.outcome, exp(coalesce(z.s, 0)) as e from lab l cross join outs x left join z on z.row_id = l.row_id and z.outcome = x.outcome) select row_id, outcome, round(e / sum(e) over (partition by row_id), 6) as p from q",
 }
