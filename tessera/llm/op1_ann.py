@@ -36,9 +36,9 @@ SAMPLE_ROWS = 16_384
 #: Bits of a query's coordinates.
 PLANES = 7
 #: Index rows (of one cell) and queries that meet in one task.
-SLICE_ROWS = (1_024, 65_536)
+SLICE_ROWS = (4_096, 65_536)
 BLOCK_QUERIES = 2_048
-_INDEX = "row long, vec_id long, vector array<double>, cell int, code binary, radius double, align double"
+_INDEX = "row long, vec_id long, vector {kind}, cell int, code binary, radius double, align double, asked boolean"
 
 
 def rotation(dim: int, seed: int = 3) -> np.ndarray:
@@ -136,6 +136,7 @@ def nearest(vectors: DataFrame, asked: Column | None = None, queries: DataFrame
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, reranked long")
     known = known.where(F.size("vector") == dim)
+    kind = dict(known.dtypes)["vector"]
     cells = max(1, min(MOST_CELLS, rows // cell_rows))
     share = F.lit(1_000_000) * min(1.0, SAMPLE_ROWS / max(rows, 1))
     sample = known.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share).select("vector").limit(2 * SAMPLE_ROWS).collect() if cells > 1 else []
@@ -149,15 +150,15 @@ def nearest(vectors: DataFrame, asked: Column | None = None, queries: DataFrame
             x = _matrix(batch.column(2), dim)
             home = nearest_cell(x, centre)
             codes, radius, align = encode(x, centre[home], turn)
-            columns = [batch.column(0), batch.column(1), batch.column(2).cast(pa.list_(pa.float64())), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(radius), pa.array(align), batch.column(3)]
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(radius), pa.array(align), batch.column(3)]
             yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "vector", "cell", "code", "radius", "align", "asked"])
 
-    index = stage(known.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector", "asked").mapInArrow(code, f"{_INDEX}, asked boolean"), "index")
+    index = stage(known.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector", "asked").mapInArrow(code, _INDEX.format(kind=kind)), "index")
     if queries is None:
         own = index.where("asked").select("row", "vec_id", "vector")
     else:
         # Rows of the index number from 0 up, these from -1 down.
-        own = usable(queries, id_col, vector_col).where(F.size("vector") == dim).select((-1 - F.monotonically_increasing_id()).alias("row"), "vec_id", "vector")
+        own = usable(queries, id_col, vector_col).where(F.size("vector") == dim).select((-1 - F.monotonically_increasing_id()).alias("row"), "vec_id", F.col("vector").cast(kind).alias("vector"))
     extent = {r["cell"]: (r["n"], r["most"]) for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("most")).collect()}
     count = np.array([extent.get(c, (0, 0.0))[0] for c in range(len(centre))], dtype=np.int64)
     reach = np.array([extent.get(c, (0, 0.0))[1] for c in range(len(centre))])
@@ -173,16 +174,16 @@ def nearest(vectors: DataFrame, asked: Column | None = None, queries: DataFrame
             order = np.argsort(-np.where(count, q @ centre.T, -np.inf), axis=1, kind="stable")
             before = np.cumsum(count[order], axis=1) - count[order]
             wanted = (before < SEEDS * k) | (np.arange(len(centre)) < np.sqrt(len(centre)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.list_(pa.float64())), pa.array([o[w].tolist() for o, w in zip(order, wanted)], pa.list_(pa.int32()))], ["qrow", "qid", "q", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([o[w].tolist() for o, w in zip(order, wanted)], pa.list_(pa.int32()))], ["qrow", "qid", "q", "cells"])
 
-    own = stage(own.mapInArrow(probes, "qrow long, qid long, q array<double>, cells array<int>"), "queries")
+    own = stage(own.mapInArrow(probes, f"qrow long, qid long, q {kind}, cells array<int>"), "queries")
     blocks = max(1, -(-own.count() // block_queries))
     own = own.withColumn("qblock", F.pmod(F.xxhash64("qrow"), F.lit(blocks)).cast("int"))
     coded = index.select("row", "cell", "slice", "code", "radius", "align", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qblock"))
     per_slice = F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("slice")
 
     def met(left: DataFrame, best: int) -> DataFrame:
-        """``(qrow, cell, slice, rows, near)``: candidates of ``left`` (qrow, q, floor, cell, slice, qblock) that may reach the floor, the ``best`` likeliest in a slice at most if that is not 0."""
+        """``(qrow, floor, cell, slice, rows, near)``: candidates of ``left`` (qrow, q, floor, cell, slice, qblock) that may reach the floor; the ``best`` likeliest in a slice at most, with their estimates, if that is not 0."""
 
         def meet(qs: pa.Table, xs: pa.Table) -> pa.Table:
             out: list[tuple] = []
@@ -199,15 +200,18 @@ def nearest(vectors: DataFrame, asked: Column | None = None, queries: DataFrame
                         if best and len(at) > best:
                             at = at[np.argpartition(-near[i][at], best - 1)[:best]]
                         if len(at):
-                            out.append((int(qrow[s + i]), cell, part, ids[at], near[i][at].astype(np.float64)))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-            return pa.table({n: pa.array([o[j] for o in out], t) for j, (n, t) in enumerate(zip(("qrow", "cell", "slice", "rows", "near"), kinds))})
+                            out.append((int(qrow[s + i]), float(floor[s + i]), cell, part, ids[at], near[i][at].astype(np.float64) if best else []))
+            kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+            return pa.table({n: pa.array([o[j] for o in out], t) for j, (n, t) in enumerate(zip(("qrow", "floor", "cell", "slice", "rows", "near"), kinds))})
 
         by = ("cell", "slice", "qblock")
-        return left.groupBy(*by).cogroup(coded.groupBy(*by)).applyInArrow(meet, "qrow long, cell int, slice int, rows array<long>, near array<double>")
+        return left.groupBy(*by).cogroup(coded.groupBy(*by)).applyInArrow(meet, "qrow long, floor double, cell int, slice int, rows array<long>, near array<double>")
 
     def scored(wanted: DataFrame) -> DataFrame:
-        """``(qrow, qid, row, vec_id, score, n)``: the ``k`` best of each slice, of ``wanted`` (qrow, cell, slice, rows), by their vectors; the first of each says how many were scored."""
+        """``(qrow, qid, row, vec_id, score, n)``: of ``wanted`` (qrow, floor, cell, slice, rows) those that reach the floor by their vectors, the ``k`` best of each slice.
+
+        A row without ``row`` says how many were scored in the slice.
+        """
 
         def score(qs: pa.Table, xs: pa.Table) -> pa.Table:
             out: list[tuple] = []
@@ -215,16 +219,16 @@ def nearest(vectors: DataFrame, asked: Column | None = None, queries: DataFrame
                 ids = xs["row"].to_numpy()
                 order = np.argsort(ids)
                 ids, named, x = ids[order], xs["vec_id"].to_numpy()[order], _matrix(xs["vector"], dim)[order]
-                for qrow, qid, q, rows_ in zip(qs["qrow"].to_pylist(), qs["qid"].to_pylist(), _matrix(qs["q"], dim), qs["rows"]):
+                for qrow, qid, floor, q, rows_ in zip(qs["qrow"].to_pylist(), qs["qid"].to_pylist(), qs["floor"].to_pylist(), _matrix(qs["q"], dim), qs["rows"]):
                     at = np.searchsorted(ids, np.array(rows_.values))
                     exact = (x[at] * q).sum(axis=1)
+                    n = len(at)
+                    at, exact = at[exact >= floor], exact[exact >= floor]
                     top = np.lexsort((named[at], -exact))[:k]
-                    out.append((qrow, qid, ids[at[top]], named[at[top]], exact[top], len(at)))
-            sizes_ = [len(o[2]) for o in out]
-            flat = lambda j, kind: pa.array(np.concatenate([o[j] for o in out]) if out else np.zeros(0), kind)
-            once = lambda j: pa.array(np.repeat(np.array([o[j] for o in out], dtype=np.int64), sizes_), pa.int64())
-            n = pa.array([m if j == 0 else 0 for *_, m in out for j in range(min(k, m))], pa.int64())
-            return pa.table({"qrow": once(0), "qid": once(1), "row": flat(2, pa.int64()), "vec_id": flat(3, pa.int64()), "score": flat(4, pa.float64()), "n": n})
+                    out.append((qrow, qid, None, None, None, n))
+                    out += zip([qrow] * len(top), [qid] * len(top), ids[at[top]].tolist(), named[at[top]].tolist(), exact[top].tolist(), [0] * len(top))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            return pa.table({n: pa.array([o[j] for o in out], t) for j, (n, t) in enumerate(zip(("qrow", "qid", "row", "vec_id", "score", "n"), kinds))})
 
         left = wanted.join(own.select("qrow", "qid", "q"), "qrow")
         right = index.select("row", "vec_id", "vector", "cell", "slice")
@@ -232,12 +236,12 @@ def nearest(vectors: DataFrame, asked: Column | None = None, queries: DataFrame
 
     # First pass: the likeliest of the nearest cells, scored.
     first = own.select("qrow", "q", "qblock", F.lit(float("-inf")).alias("floor"), F.explode("cells").alias("cell")).select("*", per_slice)
-    likely = met(first, SEEDS * k).select("qrow", "cell", "slice", F.inline(F.arrays_zip("rows", "near")))
+    likely = met(first, SEEDS * k).select("qrow", "floor", "cell", "slice", F.inline(F.arrays_zip("rows", "near")))
     order = F.row_number().over(Window.partitionBy("qrow").orderBy(F.col("near").desc(), "rows"))
-    seeds = likely.withColumn("r", order).where(F.col("r") <= SEEDS * k).groupBy("qrow", "cell", "slice").agg(F.collect_list("rows").alias("rows"))
+    seeds = likely.withColumn("r", order).where(F.col("r") <= SEEDS * k).groupBy("qrow", "floor", "cell", "slice").agg(F.collect_list("rows").alias("rows"))
     seeded = stage(scored(seeds), "seeded")
     place = F.row_number().over(Window.partitionBy("qrow").orderBy(F.col("score").desc(), "vec_id", "row"))
-    floors = seeded.withColumn("r", place).where(F.col("r") == k).select("qrow", F.col("score").alias("floor"))
+    floors = seeded.where("row is not null").withColumn("r", place).where(F.col("r") == k).select("qrow", F.col("score").alias("floor"))
 
     def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,12 +251,12 @@ def nearest(vectors: DataFrame, asked: Column | None = None, queries: DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([np.flatnonzero(m).tolist() for m in may], pa.list_(pa.int32()))], ["qrow", "q", "qblock", "floor", "cells"])
 
     second = own.join(floors, "qrow", "left").select("qrow", "q", "qblock", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    second = second.mapInArrow(open_cells, "qrow long, q array<double>, qblock int, floor double, cells array<int>")
+    second = second.mapInArrow(open_cells, f"qrow long, q {kind}, qblock int, floor double, cells array<int>")
     second = second.select("qrow", "q", "qblock", "floor", F.explode("cells").alias("cell")).select("*", per_slice)
-    found = stage(seeded.unionByName(scored(met(second, 0).select("qrow", "cell", "slice", "rows"))), "scored")
+    found = stage(seeded.unionByName(scored(met(second, 0).select("qrow", "floor", "cell", "slice", "rows"))), "scored")
     effort = found.groupBy("qrow").agg(F.sum("n").alias("reranked"))
     # A vector may have been scored in both passes.
-    ranked = found.groupBy("qrow", "qid", "row", "vec_id", "score").agg(F.count("*")).withColumn("rank", place).where(F.col("rank") <= k)
+    ranked = found.where("row is not null").groupBy("qrow", "qid", "row", "vec_id", "score").agg(F.count("*")).withColumn("rank", place).where(F.col("rank") <= k)
     return ranked.join(effort, "qrow").select(F.col("qid").alias("query_id"), "rank", "vec_id", "score", "reranked")
 
 
