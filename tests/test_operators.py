@@ -87,7 +87,8 @@ def test_simhash_of_no_tokens_is_all_ones(spark):
     assert p[1] == p[2] == (2**32 - 1, 2**32 - 1, 0) and p[3] == p[4] and p[3][2] == 1
     ks = [r[0] for r in spark.range(1).select(F.explode(F.array(*[dedup.adaptive_bits(F.lit(n)) for n in (1, 100, 1000, 7000, 10**6)]))).collect()]
     assert ks == [max(0, min(6, math.floor(-1.619429845 * math.log(7 * n + 1) + 17.57504447 + 0.5))) for n in (1, 100, 1000, 7000, 10**6)]
-    assert len(dedup.band_masks()) == 84
+    assert len(dedup.band_masks(9, 3)) == 84
+    assert [dedup.band_blocks(n) for n in (100, 10_000, 10**6, 10**9)] == [7, 7, 8, 10]
 
 
 def test_frequent_and_maximal_sets(spark):
