@@ -133,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
 
     Of conflicting labels of a document the larger counts; null labels and ids count nothing.
     The chosen ids (bounded by ``sample_docs``) are broadcast; their documents become arrays of
-    buckets where they are read, and only those arrays meet in the training task.
+    buckets where they are read, and only those arrays meet in the training task. Of documents that repeat an
+    id, one is learnt (the least array). Null and empty texts are learnt as documents without terms, long ones whole.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = texts.join(F.broadcast(kept), "doc_id").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), "text")
-    arrays = chosen.mapInArrow(hashed, "doc_id long, toxic int, terms array<int>")
+    arrays = chosen.mapInArrow(hashed, "doc_id long, toxic int, terms array<int>").groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms"))
     model = arrays.repartition(1).mapInArrow(learn, "model binary").collect()
     return Machine.loads(bytes(model[0]["model"])) if model else train([], np.zeros(0, dtype=np.int64))
 
@@ -161,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``, from its whole text alone, moving no row.
 
-    Null and empty texts get the score of a text without known terms.
+    Null and empty texts get the score of a text without known terms; repeated rows are all scored, and texts of any length whole.
+    Other columns, of any name, are ignored. An empty table gives no rows.
     """
     data = docs.sparkSession.sparkContext.broadcast(machine.dumps())
 

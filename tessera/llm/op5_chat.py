@@ -88,8 +88,11 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     log2(depth) joins; no path is ever collected here. An empty table gives no rows.
     """
     known = messages.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
-    nodes = messages.join(known, "parent", "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    nodes = stage(nodes, "nodes")
+    score = F.coalesce("score", F.lit(0.0)).alias("score")
+    # Roots, a message of every tree, look for no parent, so they do not meet on a null key.
+    roots = messages.where("parent is null").select("tree", "node", "parent", score)
+    replies = messages.where("parent is not null").join(known, "parent", "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), score)
+    nodes = stage(roots.unionByName(replies), "nodes")
     rooted, jumps = _doubling(nodes)
     leaves = nodes.join(nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
     ends = leaves.select("tree", "node").join(rooted, "node")
@@ -159,7 +162,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """Digests of every conversation, and of conversation -7, whose texts are control strings."""
+    """Digests of every conversation, and of conversation -7, whose texts are control strings.
+
+    Null roles and texts are empty, null ids one conversation; rows of one turn are ordered by role, then text, and repeated rows
+    all stay. A text of any length is a turn. Other columns are ignored. An empty table gives conversation -7 alone.
+    """
     spark = conversations.sparkSession
     text = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")

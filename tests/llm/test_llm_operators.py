@@ -295,6 +295,26 @@ def test_op4_rows_and_held_out(spark, docs, empty):
     assert op4_toxicity.score(empty, op4_toxicity.fit(empty, labels)).count() == 0
 
 
+def test_op4_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(30)]
+    kept = np.unique(np.concatenate([op4_toxicity.terms(w) for w in words[:20]]))
+    machine = op4_toxicity.Machine.loads(op4_toxicity.Machine(kept, -0.3, rng.normal(size=len(kept)), rng.normal(size=(len(kept), 4))).dumps())
+    for n in (0, 1, 5, 30):
+        buckets = op4_toxicity.terms(" ".join(words[:n]))
+        at = [int(np.flatnonzero(machine.kept == b)[0]) for b in buckets if b in machine.kept]
+        z = machine.bias + sum(machine.w[i] for i in at) + sum(float(machine.v[i] @ machine.v[j]) for x, i in enumerate(at) for j in at[:x])
+        assert abs(machine.score(buckets) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_op4_repeated_ids_are_learnt_once(spark):
+    rows = [(i, f"insult group word{i}" if i % 3 == 0 else f"kind word{i}", "en", "a", 1) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    once = op4_toxicity.fit(spark.createDataFrame(rows, DOCS), labels)
+    often = op4_toxicity.fit(spark.createDataFrame(rows + rows[:90] * 5, DOCS).repartition(7), labels)
+    assert once.dumps() == often.dumps() and once.score(op4_toxicity.terms("insult group")) > 0.5 > once.score(op4_toxicity.terms("kind"))
+
+
 # --- op5 ---
 
 
@@ -326,6 +346,18 @@ def test_op5_conversations(spark):
         assert out[c].loss_chars == len(loss) and out[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_op5_empty(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert [r.conv_id for r in op5_chat.format_conversations(none).collect()] == [-7]
+    assert op5_chat.format_paths(spark.createDataFrame([], "tree long, node long, parent long, role string, text string, score double")).count() == 0
+
+
+def test_op5_many_roots_and_ties(spark):
+    rows = [(t, 10 * t, None, 0.5) for t in range(300)] + [(t, 10 * t + k, 10 * t, 1.0) for t in range(300) for k in (1, 2)]
+    out = op5_chat.branches(spark.createDataFrame(rows, "tree long, node long, parent long, score double"), 1).collect()
+    assert sorted((r.tree, r.leaf, r.position, r.node) for r in out) == sorted(x for t in range(300) for x in ((t, 10 * t + 1, 0, 10 * t), (t, 10 * t + 1, 1, 10 * t + 1)))
+
+
 def test_op5_branches(spark):
     #       1 -> 2 -> 4 ; 1 -> 3 ; orphan 9 ; cycle 6 <-> 7
     rows = [(0, 1, None, 1.0), (0, 2, 1, 0.0), (0, 4, 2, 0.0), (0, 3, 1, 0.9), (1, 9, 77, None), (2, 6, 7, 1.0), (2, 7, 6, 1.0)]
