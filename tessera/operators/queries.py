@@ -155,8 +155,10 @@ def concept_tree(scores: DataFrame, contains: DataFrame, least: float = 0.3, dep
 
 
 #: Initial and final sounds that typists confuse.
-FUZZY_INITIALS = (("z", "zh"), ("c", "ch"), ("s", "sh"), ("l", "n"), ("f", "h"))
-FUZZY_FINALS = (("an", "ang"), ("en", "eng"), ("in", "ing"))
+FUZZY_INITIALS = (("c", "ch"), ("s", "sh"), ("z", "zh"), ("l", "n"))
+FUZZY_FINALS = (("an", "ang"), ("en", "eng"), ("in", "ing"), ("ue", "ve"))
+#: Readings that are no syllables to cut a query into.
+FILTERED_SYLLABLES = ("n", "ng", "m", "o")
 #: Letter pairs typed the wrong way round.
 TYPOS = (("gn", "ng"), ("mg", "ng"))
 
@@ -199,7 +201,7 @@ def correct_pinyin(queries: DataFrame, dictionary: dict[str, list[str]], model:
     tables of a language, not of the log, and go to every task. A candidate scores the geometric mean of its transitions
     times its reading's weight; it needs 2 to 7 syllables and 0.0005, and the list goes on while a score is 0.7 of the one before.
     """
-    syllables = set(dictionary)
+    syllables = set(dictionary) - set(FILTERED_SYLLABLES)
 
     def step(chars: str, c: str) -> float:
         if not chars:

@@ -232,6 +232,7 @@ def test_multi_probe_finds_more(spark):
 def test_pinyin():
     known = {"xi", "an", "xian", "zhong", "zong", "ang"}
     assert queries.pinyin_segments("xian", known) == [("xian",), ("xi", "an")]
+    assert queries.fuzzy_syllables("xue", {"xue", "xve", "hue"}) == [("xue", 1.0), ("xve", 0.5)]
     assert queries.fuzzy_syllables("zong", known) == [("zong", 1.0), ("zhong", 0.5)]
     assert queries.pinyin_segments("abc", known) == []
 
