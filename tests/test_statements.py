@@ -47,8 +47,3 @@ def test_statement(spark, duck, family, name):
 def test_every_statement_has_a_query():
     for f in FAMILIES:
         assert set(f.ORACLE) <= set(f.QUERIES)
-
-
-@pytest.mark.parametrize(("family", "name"), [(f, n) for f in FAMILIES for n in f.QUERIES if n not in f.ORACLE], ids=lambda x: x if isinstance(x, str) else "")
-def test_query_without_statement_gives_rows(spark, family, name):
-    assert family.QUERIES[name](spark, str(SF)).count() > 0
