@@ -33,6 +33,7 @@ LEARN_CHARS = 4_000
 _PIECE = 256
 _ROUNDS = 6
 _SLICE_CHARS = 1_000_000
+_SOME = 1_000
 
 
 @lru_cache(maxsize=1)
@@ -359,7 +360,8 @@ def identify(docs: DataFrame, model: dict[str, Automaton], text_col: str = "text
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in read.schema.fields[: len(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Few texts at a time: as strings they take several times their size.
+        for batch in (whole.slice(i, _SOME) for whole in batches for i in range(0, whole.num_rows, _SOME)):
             lang, score = judge(batch.column(at).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
