@@ -333,3 +333,10 @@ def test_rest_works_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'duplicate_groups' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_sums_at_the_threshold_stay_out(spark):
+    """0.1 + 0.2 is above 0.3 by rounding only."""
+    weights = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.2), (2, "a", 0.3), (2, "b", 0.1)], "doc_id long, term string, weight double")
+    concepts = spark.createDataFrame([("a", 7, 1.0), ("b", 7, 1.0)], "term string, concept long, weight double")
+    assert [r.doc_id for r in similarity.interpret(weights, concepts, 0.3).collect()] == [2]
