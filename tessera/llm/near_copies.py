@@ -1,8 +1,9 @@
 """Near copies by exact Jaccard similarity of word shingles, for stages that filter a corpus.
 
-Texts with the same set of shingles are one class. Classes that agree on a band of
-MinHash values are candidates; each candidate pair is confirmed on the sets themselves.
-Two classes of similarity 0.8 share one of 20 bands of 4 values with probability 0.99997.
+Texts with the same set of shingles are one class. Classes whose SimHash fingerprints the
+BK-trees of :mod:`op8_simhash` join are candidates, and so are, for copies too far apart for
+that radius, classes that agree on a band of MinHash values; each candidate pair is confirmed on
+the sets themselves. Two classes of similarity 0.8 share one of 20 bands of 4 values with probability 0.99997.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import op8_simhash
+from tessera.llm.workers import trimmed
 from tessera.plans.components import connected_components
 from tessera.plans.staging import stage
 
@@ -69,19 +72,21 @@ def _lists(rows: list) -> pa.Array:
 
 
 def _seen(rows: DataFrame, shingle: int) -> DataFrame:
-    """``(id, mark, cls, n, keys)`` of every row ``(id, mark, text)``."""
+    """``(id, mark, cls, n, fp, keys)`` of every row ``(id, mark, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, n, keys = [], [], []
+            cls, n, fp, keys = [], [], [], []
             for t in batch.column(2).cast(pa.binary()):
-                found = shingles(t.as_py() or b"", shingle)
+                raw = t.as_py() or b""
+                found = shingles(raw, shingle)
+                fp.append(op8_simhash.simhash64(raw, shingle))
                 cls.append(class_of(found))
                 n.append(len(found))
                 keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(cls), pa.array(n, pa.int64()), _lists(keys)], ["id", "mark", "cls", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(cls), pa.array(n, pa.int64()), _signed(fp), _lists(keys)], ["id", "mark", "cls", "n", "fp", "keys"])
 
-    return rows.mapInArrow(run, "id long, mark long, cls long, n long, keys array<long>")
+    return rows.mapInArrow(trimmed(run), "id long, mark long, cls long, n long, fp long, keys array<long>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -94,7 +99,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
                 found = [shingles(t.as_py() or b"", shingle) for t in batch.column(0)[i : i + 512].cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([_signed([class_of(f) for f in found]), _lists(found)], ["cls", "held"])
 
-    return texts.mapInArrow(run, "cls long, held array<long>")
+    return texts.mapInArrow(trimmed(run), "cls long, held array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,7 +168,7 @@ def _crowded_links(at: DataFrame, sets: DataFrame) -> DataFrame:
             yield star()
 
     met = tiles.join(sets, "cls").select("tile", "cls", "held")
-    return met.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(run, "a long, b long")
+    return met.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(trimmed(run), "a long, b long")
 
 
 def links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -205,6 +210,16 @@ def links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
         before, turn = left, turn + 1
 
 
+def tree_keys(seen: DataFrame) -> DataFrame:
+    """``(key, cls, n)``: classes that have shingles, under one key for each component of the BK-trees over their fingerprints.
+
+    Texts of one class may repeat shingles differently, so a class may have several fingerprints and keys.
+    """
+    prints = stage(seen.where("n > 0").select("cls", "n", "fp").distinct(), "prints")
+    trees = connected_components(op8_simhash.links(prints.select("fp").distinct()), "a", "b").select(F.col("node").alias("fp"), "root")
+    return prints.join(trees, "fp", "left").select(F.xxhash64(F.lit("trees"), F.coalesce("root", "fp")).alias("key"), "cls", "n").distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, mark, component)`` for every row of ``docs``; ``mark`` is ``xxhash64`` of the text.
 
@@ -215,7 +230,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     seen = stage(_seen(rows, shingle), "shingled")
     # Equal classes have equal keys, so any row's will do.
     classes = stage(seen.groupBy("cls").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    keyed = classes.select(F.explode("keys").alias("key"), "cls", "n")
+    keyed = classes.select(F.explode("keys").alias("key"), "cls", "n").unionByName(tree_keys(seen))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     keys = stage(keyed.join(shared, "key", "left_semi"), "keys")
     needed = stage(classes.join(keys.select("cls").distinct(), "cls", "left_semi").select("mark"), "needed")

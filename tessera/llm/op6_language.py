@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.workers import trimmed
 from tessera.plans.staging import stage
 
 UNDETERMINED = "und"
@@ -365,7 +366,7 @@ def identify(docs: DataFrame, model: dict[str, Automaton], text_col: str = "text
             lang, score = judge(batch.column(at).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    return read.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return read.mapInArrow(trimmed(run), f"{schema}, lang_pred string, score double")
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.workers import trimmed
 from tessera.plans.components import connected_components
 from tessera.plans.staging import stage
 
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
 
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return ids.mapInArrow(run, "id long, fp long")
+    return ids.mapInArrow(trimmed(run), "id long, fp long")
 
 
 def bk_forest(shard: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +228,7 @@ def links(classes: DataFrame, radius: int = 4, shard_rows: int = SHARD_ROWS) ->
         if sum(len(x) for x, _ in kept):
             yield stars(*(np.concatenate(x) for x in zip(*kept)))
 
-    return rows.repartition("s").sortWithinPartitions("s", "fp").mapInArrow(run, "a long, b long")
+    return rows.repartition("s").sortWithinPartitions("s", "fp").mapInArrow(trimmed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:

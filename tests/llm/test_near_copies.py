@@ -81,3 +81,13 @@ def test_texts_under_one_id_are_judged_by_themselves(spark):
 
 def test_no_rows(spark):
     assert near_copies.groups(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_simhash_trees_bring_candidates(spark, monkeypatch):
+    """Without bands, the trees alone join copies whose fingerprints are near, and sets too unlike stay apart."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda found: [])
+    words = [f"w{i}" for i in range(2000)]
+    near, far = words[:-1] + ["other"], [f"v{i}" for i in range(2000)]
+    rows = [(i, " ".join(w), "en", "a", 1) for i, w in enumerate([words, near, far, far[:-1] + ["other"], ["a", "b"], []])]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 5]
