@@ -45,7 +45,8 @@ def maximal_sets(sets: DataFrame, most_items: int = 64) -> DataFrame:
 
     Equal sets are folded first. A set of one item lies in another if the item is in a larger set. Any other is
     looked up by its two rarest items, which a superset must hold. Sets of up to ``most_items`` offer all their pairs of items;
-    a larger one, whose pairs would be too many, is met through the rarest item alone. Candidates are compared item by item.
+    a larger one, whose pairs would be too many, is met through the rarest item alone. Candidates are compared item by item. The joins are merges: as files
+    the sets are far smaller than their pairs, so a choice by size would broadcast them.
     """
     held = stage(sets.groupBy("set_id").agg(F.sort_array(F.collect_set("item")).alias("items")), "sets")
     kinds = stage(held.groupBy("items").agg(F.min("set_id").alias("kind")).withColumn("size", F.size("items")), "kinds")
@@ -54,10 +55,10 @@ def maximal_sets(sets: DataFrame, most_items: int = 64) -> DataFrame:
     alone = kinds.where("size = 1").withColumn("item", F.col("items")[0]).join(spread.where("largest > 1"), "item", "left_semi").select("items")
     ranked = rows.where("size > 1").join(spread, "item").withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("n", "item")))
     two = ranked.where("r <= 2").groupBy("kind").agg(F.min("item").alias("a"), F.max("item").alias("b"), F.min(F.struct("r", "item")).getField("item").alias("rarest"))
-    small = stage(kinds.join(two, "kind").select("kind", "items", "size", "a", "b", "rarest"), "small")
+    small = stage(kinds.join(two.hint("merge"), "kind").select("kind", "items", "size", "a", "b", "rarest"), "small")
     pairs = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     offered = kinds.where((F.col("size") > 2) & (F.col("size") <= most_items)).select(F.inline(pairs), F.col("size").alias("other_size"), F.col("items").alias("other"))
     vast = kinds.where(F.col("size") > most_items).select(F.explode("items").alias("rarest"), F.col("size").alias("other_size"), F.col("items").alias("other"))
-    met = small.join(offered, ["a", "b"]).select("items", "size", "other", "other_size").unionByName(small.join(vast, "rarest").select("items", "size", "other", "other_size"))
+    met = small.join(offered.hint("merge"), ["a", "b"]).select("items", "size", "other", "other_size").unionByName(small.join(vast.hint("merge"), "rarest").select("items", "size", "other", "other_size"))
     inside = met.where((F.col("other_size") > F.col("size")) & (F.size(F.array_except("items", "other")) == 0))
     return held.join(inside.select("items").unionByName(alone).distinct(), "items", "left_anti").select("set_id")
