@@ -185,9 +185,14 @@ def fm_sgd(rows: DataFrame, rank: int = 4, rate: float = 0.01, decay: tuple[floa
 
 def fm_als(rows: DataFrame, rank: int = 4, penalty: float = 0.1, sweeps: int = 10, gibbs: bool = False, seed: int = 1) -> DataFrame:
     """``(row_id, y)``: fitted values of a factorization machine by exact coordinate sweeps over a model's rows
-    ``(model, seq, row_id, features, label)``; with ``gibbs`` each coordinate is drawn from its posterior and predictions are averaged."""
+    ``(model, seq, row_id, features, label)``; with ``gibbs`` each coordinate is drawn from its posterior and predictions are averaged.
 
-    def step(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    Rows of equal features are folded before they meet in one group: their number, mean and spread say all that a sweep needs of them.
+    """
+    label = F.coalesce(F.col("label").cast("double"), F.lit(math.nan))
+    kinds = rows.groupBy("model", "features").agg(F.count("*").alias("n"), F.avg(label).alias("mean"), (F.var_pop(label) * F.count("*")).alias("spread"), F.min(label).alias("low"), F.max(label).alias("high"))
+
+    def step(frame: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
         names = sorted({int(f["feature"]) for fs in frame["features"] for f in fs})
         at = {f: i for i, f in enumerate(names)}
@@ -195,24 +200,28 @@ def fm_als(rows: DataFrame, rank: int = 4, penalty: float = 0.1, sweeps: int = 1
         for r, fs in enumerate(frame["features"]):
             for f in fs:
                 x[r, at[int(f["feature"])]] += float(f["value"])
-        y = frame["label"].to_numpy(dtype=float)
-        bias, w, v = y.mean(), np.zeros(len(names)), rng.normal(0, 0.1, (len(names), rank))
+        y, many, spread = (frame[c].to_numpy(dtype=float) for c in ("mean", "n", "spread"))
+        bias, w, v = float(np.average(y, weights=many)), np.zeros(len(names)), rng.normal(0, 0.1, (len(names), rank))
 
         def predict() -> np.ndarray:
             return bias + x @ w + 0.5 * (((x @ v) ** 2) - (x**2) @ (v**2)).sum(axis=1)
 
+        def left(e: np.ndarray) -> float:
+            return max(float((many * e**2 + spread).sum() / many.sum()), 1e-9)
+
         kept, n = np.zeros(len(y)), 0
-        noise = max(float(((y - predict()) ** 2).mean()), 1e-9)
+        noise = left(y - predict())
 
         def draw(h: np.ndarray, residual: np.ndarray, old: float) -> float:
-            precision = float(h @ h) + penalty
-            centre = float(h @ (residual + h * old)) / precision
+            precision = float((many * h) @ h) + penalty
+            centre = float((many * h) @ (residual + h * old)) / precision
             return centre + (rng.normal(0, math.sqrt(noise / precision)) if gibbs else 0.0)
 
         for s in range(sweeps):
             e = y - predict()
-            bias += e.mean()
-            e -= e.mean()
+            moved = float(np.average(e, weights=many))
+            bias += moved
+            e -= moved
             for i in range(len(names)):
                 new = draw(x[:, i], e, w[i])
                 e -= x[:, i] * (new - w[i])
@@ -225,13 +234,16 @@ def fm_als(rows: DataFrame, rank: int = 4, penalty: float = 0.1, sweeps: int = 1
                     e -= h * (new - v[i, k])
                     q += x[:, i] * (new - v[i, k])
                     v[i, k] = new
-            noise = max(float((e**2).mean()), 1e-9)
+            noise = left(e)
             if s >= sweeps // 2:
                 kept, n = kept + predict(), n + 1
         out = kept / n if gibbs and n else predict()
-        return pd.DataFrame({"row_id": frame["row_id"].to_numpy(), "y": np.clip(out, y.min(), y.max())})
+        return frame[["model", "features"]].assign(y=np.clip(out, frame["low"].min(), frame["high"].max()))
 
-    return _in_order(rows, ["model"], step, "row_id long, y double")
+    types = dict(kinds.dtypes)
+    # Staged, so that its size is known before the rows are joined to it.
+    fitted = stage(kinds.groupBy("model").applyInPandas(step, f"model {types['model']}, features {types['features']}, y double"), "fitted").alias("f")
+    return rows.alias("r").join(fitted, F.col("r.model").eqNullSafe(F.col("f.model")) & F.col("r.features").eqNullSafe(F.col("f.features"))).select(F.col("r.row_id").cast("long").alias("row_id"), "f.y")
 
 
 def rmse(rows: DataFrame, predicted: str = "y", label: str = "label") -> DataFrame:
