@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm.workers import trimmed
 from tessera.plans.staging import stage
 
 #: Words in the broadcast table at most; their number decides only what is a row of its own.
@@ -69,19 +70,18 @@ def _values(raw: bytes) -> np.ndarray:
 
 
 def frequent_words(texts: DataFrame, most: int = FREQUENT_WORDS) -> DataFrame:
-    """``(word, n)``: at most ``most`` words, by how often they stand in batches of which they make up one word in ``most`` (twice, at least)."""
+    """``(word, n)``: the ``most`` most frequent of the words that stand twice or more. They are counted before they are shuffled, and sent in order, which compresses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: Counter[str] = Counter()
             for t in batch.column(0):
                 count.update(split_words(t.as_py() or ""))
-            least = max(2, -(-count.total() // max(most, 1)))
-            often = [(w, n) for w, n in count.items() if n >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
+            words = sorted(count)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([count[w] for w in words], pa.int64())], ["word", "n"])
 
-    counted = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.col("n").desc(), "word").limit(most)
+    counted = texts.select("text").mapInArrow(trimmed(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.where("n > 1").orderBy(F.col("n").desc(), "word").limit(most)
 
 
 def _encode(words: list[str], definition: str, kind: str) -> pa.Array:
@@ -97,7 +97,7 @@ def encoded_words(words: DataFrame, definition: str, kind: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, _encode(batch.column(0).to_pylist(), definition, kind)], ["word", "n", "ids"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
+    return words.select("word", "n").mapInArrow(trimmed(run), "word string, n long, ids binary")
 
 
 def encoded_places(places: DataFrame, definition: str, kind: str) -> DataFrame:
@@ -121,7 +121,7 @@ def encoded_places(places: DataFrame, definition: str, kind: str) -> DataFrame:
             which = np.repeat(np.arange(len(words)), np.diff(np.r_[0, runs.run_ends.to_numpy()]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()).take(pa.array(which))], ["key", "size", "spot", "ids"])
 
-    return places.repartition("word").sortWithinPartitions("word").mapInArrow(run, "key long, size int, spot int, ids binary")
+    return places.repartition("word").sortWithinPartitions("word").mapInArrow(trimmed(run), "key long, size int, spot int, ids binary")
 
 
 def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str, schema: str, emit: Callable[[list, list[np.ndarray]], pa.RecordBatch], most: int) -> DataFrame:
@@ -168,10 +168,12 @@ def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str,
                 out.append(pack.compress(_squeezed(np.fromiter((index.get(w, 0) for w in words), dtype=np.uint32, count=len(words)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "key", "size", "words"])
 
-    places = texts.select("key", "size", "text").mapInArrow(rare, _PLACES)
+    places = texts.select("key", "size", "text").mapInArrow(trimmed(rare), _PLACES)
     # The same text in several batches gives the same places.
-    ids = encoded_places(places, definition, kind).groupBy("key", "size").agg(F.sort_array(F.collect_set(F.struct("spot", "ids"))).alias("rest"))
-    rows = texts.mapInArrow(numbered, "doc_id long, key long, size int, words binary").join(ids, ["key", "size"], "left").select("doc_id", "words", "rest.ids")
+    # A place with its ids is one value, the place first, so that values sort by place.
+    placed = F.concat(F.unhex(F.lpad(F.hex("spot"), 8, "0")), "ids").alias("placed")
+    ids = encoded_places(places, definition, kind).select("key", "size", placed).groupBy("key", "size").agg(F.sort_array(F.collect_set("placed")).alias("rest"))
+    rows = texts.mapInArrow(trimmed(numbered), "doc_id long, key long, size int, words binary").join(ids, ["key", "size"], "left").select("doc_id", "words", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -184,7 +186,7 @@ def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str,
                 out = []
                 for packed, rest in zip(some.column(1), some.column(2)):
                     at = _values(unpack.decompress(packed.as_py()))
-                    rest = rest.as_py() or []
+                    rest = [r[4:] for r in rest.as_py() or []]
                     own = np.frombuffer(b"".join(rest), dtype=kind)
                     size, start = lengths[at], begin[at]
                     missing = np.flatnonzero(at == 0)
@@ -199,7 +201,7 @@ def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str,
                     out.append(ids)
                 yield emit(some.column(0).to_pylist(), out)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT_WORDS) -> DataFrame:

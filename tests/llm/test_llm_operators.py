@@ -685,3 +685,13 @@ def test_op10_encode_then_decode(spark, definition):
     out = {r.doc_id: r.text for r in op10_bpe.decode(encoded, op10_bpe.pieces_table(spark, definition)).collect()}
     library = op10_bpe.load(definition)
     assert out == {i: library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for i, t in [(1, "Hello, wörld"), (2, ""), (3, "")]}
+
+
+def test_frequent_words_are_counted_over_all_batches(spark):
+    """A word that stands once in each of many batches is more frequent than one that stands twice in one of them."""
+    texts = spark.createDataFrame([("spread",)] * 6 + [("twice twice",)], "text string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert [tuple(r) for r in op10_bpe.frequent_words(texts, 1).collect()] == [("spread", 6)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
