@@ -20,7 +20,7 @@ def _counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _near(s: SparkSession, d: str) -> DataFrame:
-    return stage(recommend.neighbours(recommend.similarities(_counts(s, d))), "neighbours")
+    return stage(recommend.similarities_by_item(_visits(s, d), recommend.NEIGHBOURS), "neighbours")
 
 
 def _batch(s: SparkSession, d: str) -> DataFrame:

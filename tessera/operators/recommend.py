@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import pairing
 from tessera.plans.staging import stage
 
 NEIGHBOURS = 30
@@ -78,6 +80,60 @@ def neighbours(sims: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     return sims.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def top_covisited_of(visits: DataFrame, k: int = 10, excluded: DataFrame | None = None) -> DataFrame:
+    """:func:`top_covisited` of new visits. Pairs are counted and ranked in one place; no table of them is kept. Items that are not whole numbers take the way by counts."""
+    if not pairing.countable(visits):
+        return top_covisited(stage(covisits(visits), "covisits"), k, excluded)
+
+    def finish(i, j, freq, own_i, own_j):
+        kept = (i != j) & (own_j > 0)
+        i, j, freq = i[kept], j[kept], freq[kept]
+        if not len(i):
+            return {"item_i": i, "item_j": j, "weight": freq.astype(float), "rank": freq.astype(np.int32)}
+        begins = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        total = np.repeat(np.add.reduceat(freq, begins), np.diff(begins, append=len(i)))
+        at, rank = pairing.best(i, j, freq.astype(float), k)
+        return {"item_i": i[at], "item_j": j[at], "weight": freq[at] / total[at], "rank": rank}
+
+    found = pairing.pairs_by_item(pairing.baskets(visits, excluded), finish, "item_i long, item_j long, weight double, rank int")
+    return _typed(found, visits)
+
+
+def similarities_by_item(visits: DataFrame, k: int | None = None) -> DataFrame:
+    """:func:`similarities` of new visits or, with ``k``, :func:`neighbours` of them; no table of pairs is kept."""
+    if not pairing.countable(visits):
+        sims = similarities(stage(covisits(visits), "covisits"))
+        return neighbours(sims, k) if k else sims
+
+    def finish(i, j, freq, own_i, own_j):
+        kept = i != j
+        i, j, sim = i[kept], j[kept], freq[kept] / np.sqrt(own_i[kept].astype(float) * own_j[kept])
+        if not k:
+            return {"item_i": i, "item_j": j, "sim": sim}
+        at, rank = pairing.best(i, j, sim, k)
+        return {"item_i": i[at], "item_j": j[at], "sim": sim[at], "rank": rank}
+
+    found = pairing.pairs_by_item(pairing.baskets(visits), finish, "item_i long, item_j long, sim double" + (", rank int" if k else ""))
+    return _typed(found, visits)
+
+
+def similarities_touching(visits: DataFrame, touched: DataFrame) -> DataFrame:
+    """:func:`similarities_of` of new visits: only the baskets that hold a touched item are paired, and only with it."""
+    t = touched.select("item").distinct()
+    once = stage(visits.select("user", "item").where("user is not null and item is not null").distinct(), "once")
+    mine = once.join(t, "item", "left_semi").select("user", F.col("item").alias("item_i"))
+    counts = mine.join(once.select("user", F.col("item").alias("item_j")), "user").groupBy("item_i", "item_j").agg(F.count("*").alias("freq")).where("item_i <> item_j")
+    own = once.groupBy("item").agg(F.count("*").alias("own"))
+    joined = counts.join(own.select(F.col("item").alias("item_i"), F.col("own").alias("own_i")), "item_i").join(own.select(F.col("item").alias("item_j"), F.col("own").alias("own_j")), "item_j")
+    sims = joined.select("item_i", "item_j", (F.col("freq") / F.sqrt(F.col("own_i").cast("double") * F.col("own_j"))).alias("sim"))
+    return sims.unionByName(sims.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "sim")).distinct()
+
+
+def _typed(pairs: DataFrame, visits: DataFrame) -> DataFrame:
+    kind = visits.schema["item"].dataType
+    return pairs.withColumns({c: F.col(c).cast(kind) for c in ("item_i", "item_j")})
+
+
 def recommend(near: DataFrame, history: DataFrame, k: int = 10, weighted: bool = False) -> DataFrame:
     """``(user, item, weight, reasons, rank)``: the ``k`` best items a user has not visited.
 

@@ -1,6 +1,7 @@
 """Small fixtures with known answers, formulas recomputed densely, formats and streams."""
 
 import math
+import random
 import struct
 import subprocess
 import sys
@@ -388,3 +389,33 @@ def test_fm_als_folds_equal_rows(spark, monkeypatch, gibbs):
     assert len(plans["fitted"]) == 1 and "Aggregate" in plans["fitted"][0]
     assert len(got) == 241 and got[500] == pytest.approx(1.0)
     assert all(abs(got[i] - (i % 2 * 2 + i % 3 + 0.5)) < 0.4 for i in range(240))
+
+
+def test_pairs_are_counted_in_blocks_without_a_table_of_them(spark, monkeypatch):
+    from tessera.operators import pairing
+
+    rng = random.Random(5)
+    big = 1 << 61
+    ids = [-big, -5, 0, 3, 70_000, 1 << 40, big, *range(100, 130)]
+    rows = [(u, i) for u in range(60) for i in rng.sample(ids, rng.randint(1, 9))] + [(u, 3) for u in range(60, 400)] + [(9, None), (None, 3)]
+    visits = spark.createDataFrame(rows * 2, "user long, item long")
+    counts = recommend.covisits(visits.where("item is not null"))
+    touched = spark.createDataFrame([(3,), (101,)], "item long")
+    ranked = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+
+    def same():
+        assert ranked(recommend.similarities_by_item(visits)) == ranked(recommend.similarities(counts))
+        assert ranked(recommend.similarities_by_item(visits, 4)) == ranked(recommend.neighbours(recommend.similarities(counts), 4))
+        assert ranked(recommend.top_covisited_of(visits, 3, touched)) == ranked(recommend.top_covisited(counts, 3, touched))
+
+    same()
+    # Many blocks, one item to a chunk, and an item whose baskets take several chunks.
+    monkeypatch.setattr(pairing, "BLOCK_ELEMENTS", 100)
+    monkeypatch.setattr(pairing, "CHUNK_PAIRS", 16)
+    same()
+    assert ranked(recommend.similarities_touching(visits, touched)) == ranked(recommend.similarities_of(counts, touched))
+    assert recommend.similarities_by_item(visits.where("user < 0"), 3).count() == 0
+    plan = recommend.similarities_by_item(visits, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    words = visits.where("item is not null").select("user", F.col("item").cast("string").alias("item"))
+    assert recommend.similarities_by_item(words).count() == recommend.similarities_by_item(visits).count()
