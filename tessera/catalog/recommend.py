@@ -61,7 +61,7 @@ QUERIES = {
     "covisit_batch_update": _batch,
     "covisit_top_items": lambda s, d: _rounded(recommend.top_covisited(_counts(s, d), 5, s.createDataFrame([(13,), (17,)], "item long")), "weight"),
     "visit_frequency": lambda s, d: recommend.visit_frequency(_visits(s, d)),
-    "item_cosine": lambda s, d: _rounded(recommend.similarities(_counts(s, d)), "sim"),
+    "item_cosine": lambda s, d: _rounded(recommend.similarities_by_item(_visits(s, d)), "sim"),
     "item_cosine_incremental": lambda s, d: _rounded(recommend.similarities_of(_counts(s, d), s.createDataFrame([(3,), (5,)], "item long")), "sim"),
     "item_neighbours": lambda s, d: _near(s, d).select("item_i", "item_j", F.round("sim", 6).alias("sim"), "rank"),
     "item_recommend": _recommend,
