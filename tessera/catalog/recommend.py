@@ -59,7 +59,7 @@ def _recommend_weighted(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "covisit_counts": lambda s, d: recommend.covisits(_visits(s, d)),
     "covisit_batch_update": _batch,
-    "covisit_top_items": lambda s, d: _rounded(recommend.top_covisited(_counts(s, d), 5, s.createDataFrame([(13,), (17,)], "item long")), "weight"),
+    "covisit_top_items": lambda s, d: _rounded(recommend.top_covisited_of(_visits(s, d), 5, s.createDataFrame([(13,), (17,)], "item long")), "weight"),
     "visit_frequency": lambda s, d: recommend.visit_frequency(_visits(s, d)),
     "item_cosine": lambda s, d: _rounded(recommend.similarities_by_item(_visits(s, d)), "sim"),
     "item_cosine_incremental": lambda s, d: _rounded(recommend.similarities_of(_counts(s, d), s.createDataFrame([(3,), (5,)], "item long")), "sim"),
