@@ -15,10 +15,6 @@ def _visits(s: SparkSession, d: str) -> DataFrame:
     return lines.join(orders, "o_orderkey").select("user", "item", "o_orderkey")
 
 
-def _counts(s: SparkSession, d: str) -> DataFrame:
-    return stage(recommend.covisits(_visits(s, d)), "covisits")
-
-
 def _near(s: SparkSession, d: str) -> DataFrame:
     return stage(recommend.similarities_by_item(_visits(s, d), recommend.NEIGHBOURS), "neighbours")
 
@@ -62,7 +58,7 @@ QUERIES = {
     "covisit_top_items": lambda s, d: _rounded(recommend.top_covisited_of(_visits(s, d), 5, s.createDataFrame([(13,), (17,)], "item long")), "weight"),
     "visit_frequency": lambda s, d: recommend.visit_frequency(_visits(s, d)),
     "item_cosine": lambda s, d: _rounded(recommend.similarities_by_item(_visits(s, d)), "sim"),
-    "item_cosine_incremental": lambda s, d: _rounded(recommend.similarities_of(_counts(s, d), s.createDataFrame([(3,), (5,)], "item long")), "sim"),
+    "item_cosine_incremental": lambda s, d: _rounded(recommend.similarities_touching(_visits(s, d), s.createDataFrame([(3,), (5,)], "item long")), "sim"),
     "item_neighbours": lambda s, d: _near(s, d).select("item_i", "item_j", F.round("sim", 6).alias("sim"), "rank"),
     "item_recommend": _recommend,
     "item_recommend_weighted": _recommend_weighted,
