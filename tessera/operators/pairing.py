@@ -152,7 +152,7 @@ class _Held:
         """``(item_i, item_j, freq, own_i, own_j)`` by item_i and item_j; all pairs of an item come together."""
         items, own, sizes = self.items.values(), self.own.values(), self.sizes.values().astype(np.int64)
         start = np.cumsum(sizes) - sizes
-        piece = 1 << 22
+        piece = 1 << 19
         heads = np.concatenate([np.flatnonzero(_block(items[i : i + piece], blocks) == block) + i for i in range(0, len(items), piece)])
         heads = heads[np.argsort(items[heads], kind="stable")]
         basket = np.searchsorted(start, heads, "right") - 1
@@ -225,6 +225,7 @@ def pairs_by_item(packed: DataFrame, finish: Callable[..., dict[str, np.ndarray]
                 for i in range(0, n, OUT_ROWS):
                     yield pa.RecordBatch.from_pydict({k: pa.array(v[i : i + OUT_ROWS]) for k, v in made.items()})
 
+        pa.default_memory_pool().release_unused()
         at, held = None, _Held(room)
         for batch in batches:
             block = batch.column("block").to_numpy()
