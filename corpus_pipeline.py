@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import near_copies, op2_line_dedup, op3_mixing, op6_language, op10_bpe
 from tessera.llm.queries import table, tokenizer_definition
+from tessera.plans import presence
 from tessera.plans.staging import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,12 +37,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by id and text, so different texts under one id, or without one, are judged each by itself; of rows that agree
     in both, the least in its other columns stays. Texts without words are alike. An empty table gives no rows.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")
-    kept = near_copies.groups(docs).groupBy("component").agg(first).select(F.col("first.last").alias("_last"), F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.mark").alias("_mark"))
-    marked = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("_last"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_mark"))
-    chosen = marked.join(kept, ["_last", "_id", "_mark"], "left_semi")
+    names = ["_last", "_id", "_mark"]
+    told = [F.col("doc_id").isNull().alias("_last"), F.coalesce("doc_id", F.lit(0)).alias("_id")]
+    named = stage(near_copies.groups(docs).select(*told, F.col("mark").alias("_mark"), "component"), "named")
+    kept = stage(named.groupBy("component").agg(F.min(F.struct(*names)).alias("first")).select("first.*"), "kept")
+    # Names that go, or that several rows have. Rows of other names stay as they are, and where they are.
+    unsure = named.groupBy(*names).agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), names, "left").where("stays is null or n > 1")
+    marked = docs.select(*COLUMNS, *told, F.xxhash64("text").alias("_mark")).withColumn("_hash", F.xxhash64(*names))
+    met, sure = presence.split(marked, "_hash", unsure.select(F.xxhash64(*names)))
     others = F.struct("lang", "source", "n_chars", "text")
-    return chosen.groupBy("doc_id", "_mark").agg(F.min(others).alias("row")).select("doc_id", "row.*").select(*COLUMNS)
+    chosen = met.join(kept, names, "left_semi").groupBy(*names, "doc_id").agg(F.min(others).alias("row"))
+    return sure.select(*COLUMNS).unionByName(chosen.select("doc_id", "row.*").select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

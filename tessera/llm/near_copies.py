@@ -4,12 +4,15 @@ Texts with the same set of shingles are one class. Classes whose SimHash fingerp
 BK-trees of :mod:`op8_simhash` join are candidates, and so are, for copies too far apart for
 that radius, classes that agree on a band of MinHash values; each candidate pair is confirmed on
 the sets themselves. Two classes of similarity 0.8 share one of 20 bands of 4 values with probability 0.99997.
+
+A set is larger than its text and most candidates are not near, so sets meet only after
+their cells (the first 16 bits of each shingle, about a byte a shingle) have: as many cells as two sets share,
+and what they hold beyond one shingle a cell, is the most shingles that they can share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import op8_simhash
 from tessera.llm.workers import trimmed
+from tessera.plans import presence
 from tessera.plans.components import connected_components
 from tessera.plans.staging import stage
 
@@ -36,15 +40,7 @@ CROWD, TILE_ROWS, TILE_SHINGLES = 32, 1_024, 2_000_000
 
 def shingles(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of ``raw`` (UTF-8), A-Z lower-cased; a shorter text is one shingle."""
-    words = raw.lower().split()
-    line = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(line, 42)] if words else []
-    else:
-        starts = [0, *accumulate(len(w) + 1 for w in words)]
-        hashes = [digest(line[s : e - 1], 42) for s, e in zip(starts, starts[shingle:])]
-    return np.unique(np.array(hashes, dtype=np.uint64))
+    return np.unique(op8_simhash.shingle_hashes(raw, shingle))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -61,6 +57,26 @@ def band_keys(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), b) for b, band in enumerate(low.reshape(BANDS, BAND_ROWS))]
 
 
+def cells(found: np.ndarray) -> bytes:
+    """The distinct first 16 bits of sorted shingles: gaps, in bytes, those of 255 and more after as many bytes 255 as they hold."""
+    gaps = np.diff(np.unique(found >> np.uint64(48)).astype(np.int64), prepend=0)
+    out = np.full(len(gaps) + int((gaps // 255).sum()), 255, dtype=np.uint8)
+    out[np.cumsum(gaps // 255 + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def cells_in(raw: bytes) -> np.ndarray:
+    """Inverse of :func:`cells`."""
+    gaps = np.frombuffer(raw, dtype=np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps < 255]
+
+
+def may_be_near(n: int, m: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sets of ``n`` and ``m`` shingles in cells ``x`` and ``y`` may reach the similarity; never false of sets that do."""
+    both = len(x) + len(y) - len(np.union1d(x, y)) + min(n - len(x), m - len(y))
+    return (10 + TENTHS) * both >= TENTHS * (n + m)
+
+
 def _signed(values) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
@@ -78,9 +94,9 @@ def _seen(rows: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             cls, n, fp, keys = [], [], [], []
             for t in batch.column(2).cast(pa.binary()):
-                raw = t.as_py() or b""
-                found = shingles(raw, shingle)
-                fp.append(op8_simhash.simhash64(raw, shingle))
+                hashes = op8_simhash.shingle_hashes(t.as_py() or b"", shingle)
+                found = np.unique(hashes)
+                fp.append(op8_simhash.majority(hashes))
                 cls.append(class_of(found))
                 n.append(len(found))
                 keys.append(band_keys(found))
@@ -90,22 +106,39 @@ def _seen(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``(cls, held)``: the set of shingles of each text."""
+    """``(cls, n, cells, held)``: the set of shingles of each text, their number and cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Few sets at a time: a list is as large as its text.
             for i in range(0, batch.num_rows, 512):
                 found = [shingles(t.as_py() or b"", shingle) for t in batch.column(0)[i : i + 512].cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([_signed([class_of(f) for f in found]), _lists(found)], ["cls", "held"])
+                columns = [_signed([class_of(f) for f in found]), pa.array([len(f) for f in found], pa.int32()), pa.array([cells(f) for f in found], pa.binary()), _lists(found)]
+                yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "cells", "held"])
 
-    return texts.mapInArrow(trimmed(run), "cls long, held array<long>")
+    return texts.mapInArrow(trimmed(run), "cls long, n int, cells binary, held array<long>")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``(a, b)`` whose cells do not rule out that their sets reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, m, y = (batch.column(i) for i in range(2, 6))
+            keep = [may_be_near(*row) for row in zip(n.to_pylist(), m.to_pylist(), (cells_in(v.as_py()) for v in x), (cells_in(v.as_py()) for v in y))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    a = sets.select(F.col("cls").alias("a"), "n", F.col("cells").alias("x"))
+    b = sets.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("cells").alias("y"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``(a, b)`` whose sets reach the similarity."""
-    a, b = sets.select(F.col("cls").alias("a"), F.col("held").alias("x")), sets.select(F.col("cls").alias("b"), F.col("held").alias("y"))
-    met = pairs.distinct().join(a, "a").join(b, "b")
+    likely = stage(_likely(pairs.distinct(), sets), "likely")
+    held = sets.select("cls", "held").join(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi")
+    a, b = held.select(F.col("cls").alias("a"), F.col("held").alias("x")), held.select(F.col("cls").alias("b"), F.col("held").alias("y"))
+    met = likely.join(a, "a").join(b, "b")
     both = F.size(F.array_intersect("x", "y"))
     return met.where((10 + TENTHS) * both >= TENTHS * (F.size("x") + F.size("y"))).select("a", "b")
 
@@ -167,7 +200,7 @@ def _crowded_links(at: DataFrame, sets: DataFrame) -> DataFrame:
         if len(cls) > 1:
             yield star()
 
-    met = tiles.join(sets, "cls").select("tile", "cls", "held")
+    met = tiles.join(sets.select("cls", "held"), "cls").select("tile", "cls", "held")
     return met.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(trimmed(run), "a long, b long")
 
 
@@ -180,7 +213,10 @@ def links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
     """
     roots, before, turn = None, None, 0
     while True:
-        at = keys.withColumn("comp", F.col("cls")) if roots is None else keys.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
+        if roots is None:
+            at = keys.withColumn("comp", F.col("cls"))
+        else:
+            at = stage(keys.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("comp")), "labelled")
         each = at.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         apart = stage(each.where("s * s > q").select("key", "s", F.expr("(s * s - q) div 2").alias("cross")), "apart")
         left, rows = apart.agg(F.sum("cross"), F.sum("s")).first()
@@ -188,11 +224,15 @@ def links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
             return roots
         last = left <= _PAIRS_A_ROW * rows or (before is not None and 2 * left > before)
         at = stage(at.join(apart.select("key"), "key", "left_semi"), "buckets")
+        # A bucket of one component stays one.
+        keys = at.select("key", "cls", "n")
         crowded = None
         if last:
-            full = at.groupBy("key").agg(F.count("*").alias("s"), F.sum("n").alias("shingles")).where(F.col("s") > CROWD)
+            full = at.groupBy("key").agg(F.count("*").alias("s"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("cls")).alias("mark")).where(F.col("s") > CROWD)
             full = stage(full, "crowded")
-            crowded = _crowded_links(at.join(full, "key"), sets)
+            # Of crowded buckets of the same classes, one is compared.
+            kinds = full.groupBy("s", "shingles", "mark").agg(F.min("key").alias("key")).drop("mark")
+            crowded = _crowded_links(at.join(kinds, "key"), sets)
             at = at.join(full, "key", "left_anti")
             other = at.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("comp").alias("to"))
             met = at.withColumnRenamed("cls", "a").join(other, "key").where("a < b")
@@ -234,7 +274,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     keys = stage(keyed.join(shared, "key", "left_semi"), "keys")
     needed = stage(classes.join(keys.select("cls").distinct(), "cls", "left_semi").select("mark"), "needed")
-    texts = rows.select("mark", "text").join(needed, "mark", "left_semi").dropDuplicates(["mark"])
+    # Few texts are needed, so the others are left where they are.
+    texts = presence.split(rows.select("mark", "text"), "mark", needed)[0].dropDuplicates(["mark"]).join(needed, "mark", "left_semi")
     roots = links(keys, stage(_sets(texts.select("text"), shingle), "sets"))
     named = seen.select(F.col("id").alias("doc_id"), "mark", "cls")
     if roots is None:

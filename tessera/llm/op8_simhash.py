@@ -34,19 +34,27 @@ _FEW_PARTS = 4
 _FRONTIER = 1 << 20
 
 
-def simhash64(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit majority fingerprint of the word shingles of ``raw`` (UTF-8), A-Z lower-cased; 0 without words."""
+def shingle_hashes(raw: bytes, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of ``raw`` (UTF-8), A-Z lower-cased, repeats included; a shorter text is one shingle, one without words has none."""
     words = raw.lower().split()
-    if not words:
-        return 0
     line = b" ".join(words)
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(line, seed)]
+        hashes = [digest(line, seed)] if words else []
     else:
+        starts = [0, *accumulate(len(w) + 1 for w in words)]
         hashes = [digest(line[s : e - 1], seed) for s, e in zip(starts, starts[shingle:])]
-    values = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def simhash64(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """64-bit majority fingerprint of the word shingles of ``raw`` (UTF-8), A-Z lower-cased; 0 without words."""
+    return majority(shingle_hashes(raw, shingle, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of ``hashes`` have; 0 without any."""
+    values = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(values), 1 << 15):
         ones += np.unpackbits(values[i : i + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
