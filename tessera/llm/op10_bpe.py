@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from tessera.plans.staging import stage
 
 #: Words in the broadcast table at most; their number decides only what is a row of its own.
 FREQUENT_WORDS = 1 << 20
+#: How many of them are looked up as objects; the others, which are met less, are found by hash in sorted arrays.
+HELD_WORDS = 1 << 17
 #: White space on which texts are split: a part of what the tokenizer drops.
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
@@ -69,6 +72,35 @@ def _values(raw: bytes) -> np.ndarray:
     return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
+class Numbers:
+    """Numbers from 1 of distinct words in order. The first :data:`HELD_WORDS` are keys of a dict; as objects, all would take three times the memory."""
+
+    def __init__(self, words: pa.StringArray, held: int | None = None) -> None:
+        held = HELD_WORDS if held is None else held
+        self.held = {w: i for i, w in enumerate(words.slice(0, held).to_pylist(), 1)}
+        self.rest = words.slice(held)
+        pieces = (self.rest.slice(i, 1 << 15).to_pylist() for i in range(0, len(self.rest), 1 << 15))
+        hashes = np.fromiter((h for piece in pieces for h in map(hash, piece)), np.int64, len(self.rest))
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The number of each word, 0 if it has none."""
+        out = np.fromiter(map(self.held.get, words, repeat(0)), np.uint32, len(words))
+        left = np.flatnonzero(out == 0) if len(self.hashes) else np.zeros(0, np.int64)
+        hashes = np.fromiter((hash(words[i]) for i in left.tolist()), np.int64, len(left))
+        at = np.searchsorted(self.hashes, hashes)
+        while len(left):
+            # Equal hashes stand side by side; the words themselves decide.
+            like = np.flatnonzero((at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes))
+            left, hashes, at = left[like], hashes[like], at[like]
+            place = self.order[at]
+            same = pc.equal(self.rest.take(pa.array(place)), pa.array([words[i] for i in left.tolist()], pa.string())).to_numpy(zero_copy_only=False).astype(bool)
+            out[left[same]] = place[same] + len(self.held) + 1
+            left, hashes, at = left[~same], hashes[~same], at[~same] + 1
+        return out
+
+
 def frequent_words(texts: DataFrame, most: int = FREQUENT_WORDS) -> DataFrame:
     """``(word, n)``: the ``most`` most frequent of the words that stand twice or more. They are counted before they are shuffled, and sent in order, which compresses."""
 
@@ -134,39 +166,43 @@ def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str,
     often = stage(encoded_words(stage(frequent_words(texts, most), "bpe-frequent"), definition, kind), "bpe-frequent-ids")
     # Bounded: at most ``most`` words and their ids, the most frequent with the least numbers.
     held = often.toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns("n")
-    sent = spark.sparkContext.broadcast(["\n".join(held["word"].to_pylist()), b"".join(held["ids"].to_pylist()), np.array([0, *map(len, held["ids"].to_pylist())]) // int(kind[2:])])
-    del held
+    sent = spark.sparkContext.broadcast(held["word"].combine_chunks())
+    sizes = np.array([0, *map(len, held["ids"].to_pylist())]) // int(kind[2:])
+    coded = spark.sparkContext.broadcast((b"".join(held["ids"].to_pylist()), sizes.astype(np.min_scalar_type(int(sizes.max())))))
+    del held, sizes
 
-    def frequent() -> dict[str, int]:
-        return {w: i + 1 for i, w in enumerate(sent.value[0].split("\n") if sent.value[0] else [])}
+    def looked_up(numbers: Numbers, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words of all texts, their numbers, and where each text's words end."""
+        each = [split_words(t) for t in texts]
+        words = [w for ws in each for w in ws]
+        return words, numbers.of(words), np.cumsum([len(ws) for ws in each])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent()
+        numbers = Numbers(sent.value)
         for whole in batches:
             met = set()
             for s in range(0, whole.num_rows, _SOME):
-                batch = whole.slice(s, _SOME)
-                keys, sizes, spots, words = [], [], [], []
-                for key, size, t in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (key, size) in met:
-                        continue
-                    met.add((key, size))
-                    found = [(i, w) for i, w in enumerate(split_words(t)) if w not in known]
-                    keys += [key] * len(found)
-                    sizes += [size] * len(found)
-                    spots += [i for i, _ in found]
-                    words += [w for _, w in found]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(spots, pa.int32()), pa.array(words, pa.string())], ["key", "size", "spot", "word"])
+                fresh = []
+                for row in zip(*(c.to_pylist() for c in whole.slice(s, _SOME).columns)):
+                    if row[:2] not in met:
+                        met.add(row[:2])
+                        fresh.append(row)
+                words, found, ends = looked_up(numbers, [t for _, _, t in fresh])
+                at = np.flatnonzero(found == 0)
+                text = np.searchsorted(ends, at, "right")
+                keys, sizes = (pa.array([row[i] for row in fresh], kind).take(pa.array(text)) for i, kind in enumerate((pa.int64(), pa.int32())))
+                spots = at - np.r_[0, ends][text]
+                yield pa.RecordBatch.from_arrays([keys, sizes, pa.array(spots, pa.int32()), pa.array([words[i] for i in at.tolist()], pa.string())], ["key", "size", "spot", "word"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = frequent()
+        numbers = Numbers(sent.value)
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            out = []
-            for t in batch.column(3):
-                words = split_words(t.as_py())
-                out.append(pack.compress(_squeezed(np.fromiter((index.get(w, 0) for w in words), dtype=np.uint32, count=len(words)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "key", "size", "words"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, _SOME):
+                batch = whole.slice(s, _SOME)
+                _, found, ends = looked_up(numbers, batch.column(3).to_pylist())
+                out = [pack.compress(_squeezed(part)) for part in np.split(found, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "key", "size", "words"])
 
     places = texts.select("key", "size", "text").mapInArrow(trimmed(rare), _PLACES)
     # The same text in several batches gives the same places.
@@ -177,8 +213,7 @@ def _through_words(docs: DataFrame, definition: str, id_col: str, text_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        lengths = np.array(sent.value[2], dtype=np.int64)
-        flat = np.frombuffer(sent.value[1], dtype=kind)
+        flat, lengths = np.frombuffer(coded.value[0], dtype=kind), coded.value[1].astype(np.int64)
         begin = np.cumsum(lengths) - lengths
         for batch in batches:
             for s in range(0, batch.num_rows, _SOME):

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -679,6 +680,18 @@ def test_op10_matches_the_library(spark, docs, empty, definition):
     assert op10_bpe.digests(empty, definition).count() == 0
 
 
+def test_op10_numbers_of_words_hold_few_objects(monkeypatch):
+    words = [f"w{i:x}" for i in range(5000)]
+    asked = words[::7] + ["none", "w", "\u00e4"] + words[::-3]
+    want = [{w: i for i, w in enumerate(words, 1)}.get(w, 0) for w in asked]
+    for hashing in (hash, len):  # with lengths as hashes, most words collide
+        monkeypatch.setattr(op10_bpe, "hash", hashing, raising=False)
+        numbers = op10_bpe.Numbers(pa.array(words), 100)
+        assert numbers.of(asked).tolist() == want
+        assert len(numbers.held) == 100
+    assert op10_bpe.Numbers(pa.array([], pa.string())).of(["a"]).tolist() == [0]
+
+
 def test_op10_encode_then_decode(spark, definition):
     df = spark.createDataFrame([(1, "Hello, wörld"), (2, None), (3, "")], "doc_id long, text string")
     encoded = op10_bpe.encode(df, definition)
