@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,28 +162,93 @@ def fm_sgd(rows: DataFrame, rank: int = 4, rate: float = 0.01, decay: tuple[floa
     ``features`` is an array of (feature long, value double). Predictions are clipped to the label range.
     """
 
-    def step(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def fitted(name: str | None, kinds: dict[bytes, int], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        read = [np.frombuffer(k, np.int64).reshape(2, -1) for k in kinds]
+        names = sorted({f for r in read for f in r[0].tolist()})
         rng, bias = np.random.default_rng(seed), 0.0
-        w: dict[int, float] = {}
-        v: dict[int, np.ndarray] = {}
-        low, high = float(frame["label"].min()), float(frame["label"].max())
-        data = [([(int(f["feature"]), float(f["value"])) for f in fs], float(y)) for fs, y in zip(frame["features"], frame["label"])]
-        for f in sorted({f for fs, _ in data for f, _ in fs}):
-            w[f], v[f] = 0.0, rng.normal(0, 0.1, rank)
+        params = {f: [0.0, *rng.normal(0, 0.1, rank).tolist()] for f in names}
+        labels = np.concatenate([y for _, y in parts])
+        low, high = (float(f(labels)) if not np.isnan(labels).all() else math.nan for f in (np.nanmin, np.nanmax))
+        updates = []
+        for r in read:
+            own = list(dict.fromkeys(r[0].tolist()))
+            values = r[1].view(np.float64).tolist()
+            shape = tuple((own.index(f), x == 1.0) for f, x in zip(r[0].tolist(), values))
+            updates.append(_sgd_update(shape, rank)([params[f] for f in own], values, rate, decay, low, high))
         for _ in range(epochs):
-            for fs, y in data:
-                total = sum((v[f] * x for f, x in fs), np.zeros(rank))
-                square = sum((v[f] ** 2 * x * x for f, x in fs), np.zeros(rank))
-                guess = bias + sum(w[f] * x for f, x in fs) + 0.5 * float((total**2 - square).sum())
-                e = min(max(guess, low), high) - y
-                bias -= rate * (e + decay[0] * bias)
-                for f, x in fs:
-                    w[f] -= rate * (e * x + decay[1] * w[f])
-                    v[f] = v[f] - rate * (e * (x * total - v[f] * x * x) + decay[2] * v[f])
-        out = [(key[0], -1, bias, [])] + [(key[0], f, w[f], v[f].tolist()) for f in w]
-        return pd.DataFrame(out, columns=["model", "feature", "w", "v"])
-
-    return _in_order(rows, ["model"], step, "model string, feature long, w double, v array<double>")
+            for kind, y in parts:
+                for k, one in zip(kind.tolist(), y.tolist()):
+                    bias = updates[k](bias, one)
+        rows = [(-1, bias, [])] + [(f, p[0], p[1:]) for f, p in params.items()]
+        columns = [pa.array([name] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.list_(pa.float64()))))]
+        return pa.RecordBatch.from_arrays(columns, ["model", "feature", "w", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, kinds, parts = None, {}, []
+        for batch in batches:
+            models = pc.run_end_encode(batch.column(0)) if batch.num_rows else None
+            at = 0
+            for model, end in zip(models.values.to_pylist(), models.run_ends.to_pylist()) if models else ():
+                if parts and model != name:
+                    yield fitted(name, kinds, parts)
+                    kinds, parts = {}, []
+                name = model
+                some = batch.slice(at, end - at)
+                y = some.column(2).cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False)
+                parts.append((_kinds(some.column(1), kinds), np.array(y)))
+                at = end
+        if parts:
+            yield fitted(name, kinds, parts)
+
+    # A model's rows come in order to one task, which keeps a number for each row's features and its label.
+    dealt = rows.select(F.col("model").cast("string").alias("model"), "features", F.col("label").cast("double").alias("label"), "seq").repartition("model")
+    ordered = dealt.sortWithinPartitions("model", F.col("seq").asc_nulls_last()).select("model", F.col("features").cast("array<struct<feature:bigint,value:double>>").alias("features"), "label")
+    return ordered.mapInArrow(run, "model string, feature long, w double, v array<double>")
+
+
+def _kinds(features: pa.ListArray, known: dict[bytes, int]) -> np.ndarray:
+    """The number of each row's list of (feature, value) among those of ``known``, to which new ones are added."""
+    flat = features.flatten()
+    if flat.null_count or flat.field(0).null_count or flat.field(1).null_count:
+        raise ValueError("features and their values must not be null")
+    data = np.stack([flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False).view(np.int64)])[:, : len(flat)] if len(flat) else np.zeros((2, 0), np.int64)
+    size = pc.fill_null(pc.list_value_length(features), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, out = np.cumsum(size) - size, np.empty(len(size), np.int32)
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        lists = np.ascontiguousarray(data[:, start[rows][:, None] + np.arange(n)].transpose(1, 0, 2)).reshape(len(rows), 2 * n)
+        if n:
+            distinct, inverse = np.unique(lists.view(f"V{16 * n}").ravel(), return_inverse=True)
+        else:
+            distinct, inverse = [b""], np.zeros(len(rows), np.int64)
+        out[rows] = np.array([known.setdefault(bytes(d), len(known)) for d in distinct], np.int32)[inverse]
+    return out
+
+
+@lru_cache(maxsize=1024)
+def _sgd_update(shape: tuple[tuple[int, bool], ...], rank: int):
+    """Maker of the update of :func:`fm_sgd` for rows of one shape: which of their weights each entry means, and whether its value is 1.
+
+    The update is written out for the shape, on plain numbers, as rows must be taken one after the other.
+    """
+    slots, ranks = range(max((s for s, _ in shape), default=-1) + 1), range(rank)
+    names = {s: ", ".join([f"w{s}", *(f"v{s}_{k}" for k in ranks)]) for s in slots}
+    times = ["" if one else f" * x{i}" for i, (_, one) in enumerate(shape)]
+    body = [f"{names[s]}, = p{s}" for s in slots]
+    for k in ranks:
+        body.append(f"t{k} = 0.0" + "".join(f" + v{s}_{k}{times[i]}" for i, (s, _) in enumerate(shape)))
+        body.append(f"q{k} = t{k} * t{k} - (0.0" + "".join(f" + v{s}_{k} * v{s}_{k}{times[i] * 2}" for i, (s, _) in enumerate(shape)) + ")")
+    body.append("e = bias + (0" + "".join(f" + w{s}{times[i]}" for i, (s, _) in enumerate(shape)) + ") + 0.5 * (" + (" + ".join(f"q{k}" for k in ranks) or "0.0") + ")")
+    body += ["if e < low: e = low", "if e > high: e = high", "e -= y", "bias -= rate * (e + d0 * bias)"]
+    for i, (s, _) in enumerate(shape):
+        body.append(f"w{s} -= rate * (e{times[i]} + d1 * w{s})")
+        body += [f"v{s}_{k} -= rate * (e * (t{k}{times[i]} - v{s}_{k}{times[i] * 2}) + d2 * v{s}_{k})" for k in ranks]
+    body += [f"p{s}[:] = {names[s]}," for s in slots] + ["return bias"]
+    head = ["def make(params, values, rate, decay, low, high):", " d0, d1, d2 = decay"]
+    head += [f" p{s} = params[{s}]" for s in slots] + [f" x{i} = values[{i}]" for i in range(len(shape))]
+    made: dict = {}
+    exec("\n".join([*head, " def update(bias, y):", *(f"  {line}" for line in body), " return update"]), made)
+    return made["make"]
 
 
 def fm_als(rows: DataFrame, rank: int = 4, penalty: float = 0.1, sweeps: int = 10, gibbs: bool = False, seed: int = 1) -> DataFrame:

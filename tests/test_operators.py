@@ -157,6 +157,39 @@ def test_factorization_machines_fit(spark):
     assert learning.rmse(fitted).first().rmse < spread / 2
 
 
+def test_sequential_factorization_machine_keeps_order_in_little_memory(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    data = [(rng.choice(["m", "n", None]), i, [(rng.randrange(3), 1.0), (3 + rng.randrange(3), rng.choice([1.0, 0.5]))] + [(1, 1.0)] * (i % 3), rng.random() * 3) for i in range(200)]
+    data += [("n", 500, [], 1.0), ("m", 501, [(9, -2.0)], 0.5)]
+    shuffled = rng.sample(data, len(data))
+    df = spark.createDataFrame(shuffled, "model string, seq long, features array<struct<feature:bigint,value:double>>, label double")
+    got = {(r.model, r.feature): [r.w, *r.v] for r in learning.fm_sgd(df, 3, epochs=4).collect()}
+    want = {}
+    for m in ("m", "n", None):
+        rows = [(fs, y) for name, _, fs, y in data if name == m]
+        gen, bias, low, high = np.random.default_rng(1), 0.0, min(y for _, y in rows), max(y for _, y in rows)
+        w, v = {}, {}
+        for f in sorted({f for fs, _ in rows for f, _ in fs}):
+            w[f], v[f] = 0.0, gen.normal(0, 0.1, 3)
+        for _ in range(4):
+            for fs, y in rows:
+                total, square = sum((v[f] * x for f, x in fs), np.zeros(3)), sum((v[f] ** 2 * x * x for f, x in fs), np.zeros(3))
+                e = min(max(bias + sum(w[f] * x for f, x in fs) + 0.5 * float((total**2 - square).sum()), low), high) - y
+                bias -= 0.01 * e
+                for f, x in fs:
+                    w[f] -= 0.01 * (e * x + 0.01 * w[f])
+                    v[f] = v[f] - 0.01 * (e * (x * total - v[f] * x * x) + 0.01 * v[f])
+        want |= {(m, -1): [bias]} | {(m, f): [w[f], *v[f]] for f in w}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+    known = {}
+    lists = pa.array([[{"feature": i % 3, "value": 1.0}] for i in range(999)], pa.list_(pa.struct([("feature", pa.int64()), ("value", pa.float64())])))
+    assert learning._kinds(lists, known).nbytes == 4 * 999 and len(known) == 3
+
+
 def test_entropy_model_learns(spark):
     rows = [(i, ["bad" if i % 2 else "good", "the"], str(i % 2)) for i in range(40)]
     df = spark.createDataFrame(rows, "row_id long, features array<string>, outcome string")
