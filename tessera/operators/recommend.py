@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import pairing
+from tessera.operators import pairing, scoring
 from tessera.plans.staging import stage
 
 NEIGHBOURS = 30
@@ -140,8 +140,18 @@ def recommend(near: DataFrame, history: DataFrame, k: int = 10, weighted: bool =
     ``near`` is a neighbour table ``(item_i, item_j, sim)``; ``history`` has ``user, item`` and,
     if ``weighted``, ``weight``. A candidate is a neighbour of a visited item (of positive
     weight); its score is the similarity of those of its own neighbours that were visited
-    over that of all its neighbours. Scores above 0 are ranked, ties by item.
+    over that of all its neighbours. Scores above 0 are ranked, ties by item. Whole-number users and items are scored block by
+    block (:mod:`~tessera.operators.scoring`); others take the way by a row for each neighbour of a visit.
     """
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if all(dict(df.dtypes)[c] in whole for df, c in ((near, "item_i"), (near, "item_j"), (history, "user"), (history, "item"))):
+        out = scoring.recommend_in_blocks(near, history, k, weighted)
+        kinds = {"user": history.schema["user"].dataType, "item": near.schema["item_j"].dataType}
+        return out.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
+    return _recommend_by_rows(near, history, k, weighted)
+
+
+def _recommend_by_rows(near: DataFrame, history: DataFrame, k: int, weighted: bool) -> DataFrame:
     visited = stage(history.groupBy("user", "item").agg((F.sum("weight") if weighted else F.lit(1.0)).alias("w")), "visited")
     # What each visit adds to the items it is a neighbour of, which items it brings in, and the visit itself, in one sum.
     added = visited.join(near, visited["item"] == near["item_j"]).select("user", F.col("item_i").alias("item"), (F.col("sim") * F.col("w")).alias("s"), F.lit(0).alias("brought"), F.lit(0).alias("seen"))
